@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, secrets, urls, warc
+from . import language, licenses, minhash, mixing, secrets, urls, warc
 from .bpe import encode_documents
 from .common import new_path, table
 
@@ -73,6 +73,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(
@@ -93,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_language_id, op2_secret_scan, op3_warc, op5_license_scan, op6_url_filter, op9_byte_bpe, op10_mixing,
+            op1_language_id, op2_secret_scan, op3_warc, op5_license_scan, op6_url_filter, op8_minhash, op9_byte_bpe, op10_mixing,
         )
     }
 
