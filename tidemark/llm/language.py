@@ -209,7 +209,44 @@ class Labeller:
         return out
 
 
+#: One labeller is kept by a Python worker from task to task.
 _KEPT: dict[bytes, Labeller] = {}
+
+
+def _shipped(docs: DataFrame, model: Model, penalty: float):
+    """A function for tasks that gives the labeller of a broadcast model."""
+    raw = pickle.dumps(model)
+    shipped, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).digest() + str(penalty).encode()
+
+    return lambda: _kept(key, shipped, penalty)
+
+
+def _kept(key: bytes, shipped, penalty: float) -> Labeller:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Labeller(pickle.loads(shipped.value), penalty)
+    if len(_KEPT[key].ids) > MEMO:
+        _KEPT[key].reset()
+    return _KEPT[key]
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, penalty: float = 6.0) -> DataFrame:
+    """docs' rows whose text has a language: some letter, and one language for least_score of its words."""
+    labeller_of, at = _shipped(docs, model, penalty), docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        labeller = labeller_of()
+        none = np.zeros(0, np.int32)
+        texts = [labeller.words(t) if t else none for t in rows_of(batch.column(at))]
+        kept = []
+        for ids, labels in zip(texts, labeller.label(texts), strict=True):
+            scored = labels[ids > 1]
+            kept.append(bool(len(scored)) and np.bincount(scored).max() >= least_score * len(scored))
+        return batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), docs.schema)
+
+
 PREDICTED = "doc_id bigint, lang_pred string, score double, spans string"
 
 
@@ -219,16 +256,10 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     spans: `start:end:language` of the runs, comma-joined, code points; of a text in one language only
     the whole. One pass without a shuffle; the model is broadcast, its size is bounded by learn().
     """
-    raw = pickle.dumps(model)
-    shipped, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).digest() + str(penalty).encode()
+    labeller_of = _shipped(docs, model, penalty)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Labeller(pickle.loads(shipped.value), penalty)
-        labeller = _KEPT[key]
-        if len(labeller.ids) > MEMO:
-            labeller.reset()
+        labeller = labeller_of()
         langs = labeller.model.langs
         known = bool(langs)
         column = batch.column(1)

@@ -54,8 +54,8 @@ def uniform(doc_id: Column) -> Column:
 def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """Targets in proportion to natural token shares to the power alpha (1: natural, 0: even)."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
-    total = shares.agg(F.sum(F.pow("n", F.lit(alpha))).alias("all_n"))
-    return shares.crossJoin(total).select(margin, (F.pow("n", F.lit(alpha)) / F.col("all_n")).alias("target"))
+    total = shares.agg(F.sum(F.pow("n", F.lit(alpha)))).first()[0]
+    return shares.select(margin, (F.pow("n", F.lit(alpha)) / F.lit(total)).alias("target"))
 
 
 def rake(
@@ -82,11 +82,11 @@ def rake(
         sums = joined.agg(
             F.coalesce(F.sum("target"), F.lit(0.0)).alias("targeted"),
             F.coalesce(F.sum(F.when(F.col("target").isNull(), F.col("natural"))), F.lit(0.0)).alias("rest"),
-        )
-        scaled = joined.crossJoin(sums).select(
+        ).first()
+        scaled = joined.select(
             margin,
             F.when(F.col("target").isNull(), F.col("natural"))
-            .otherwise(F.col("target") / F.col("targeted") * (1 - F.col("rest")))
+            .otherwise(F.col("target") / F.lit(sums["targeted"]) * F.lit(1 - sums["rest"]))
             .alias("share"),
         )
         fixed[margin] = materialize(spark, scaled, f"target-{margin}")

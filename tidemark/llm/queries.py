@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, minhash, mixing, secrets, urls, warc
+from . import ann, language, licenses, minhash, mixing, secrets, urls, vector_dedup, warc
 from .bpe import encode_documents
 from .common import new_path, table
 
@@ -61,6 +61,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("hits")
@@ -73,6 +77,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -97,7 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_language_id, op2_secret_scan, op3_warc, op5_license_scan, op6_url_filter, op8_minhash, op9_byte_bpe, op10_mixing,
+            op1_language_id, op2_secret_scan, op3_warc, op4_nearest, op5_license_scan, op6_url_filter,
+            op7_vector_dedup, op8_minhash, op9_byte_bpe, op10_mixing,
         )
     }
 
