@@ -47,7 +47,7 @@ SCRIPTS = [
 _STARTS = [a for a, _ in SCRIPTS]
 #: Weight of a word's own frequency against the trigram model; how far below the best a score may be.
 MIX, FLOOR = 0.6, 8.0
-MEMO = 300_000
+MEMO = 500_000
 
 
 def script_of(word: str) -> str:
@@ -81,6 +81,7 @@ class Model:
                     heads[a] += n
             self.grams[x], self.heads[x], scripts[x] = grams, heads, seen
         self.letters = max(1, len(letters))
+        self.logs: dict[str, tuple[float, ...]] = {}
         #: script -> indices of languages of which it makes at least a hundredth
         self.candidates: dict[str, list[int]] = defaultdict(list)
         for k, x in enumerate(self.langs):
@@ -88,13 +89,11 @@ class Model:
                 if 100 * n >= self.total[x]:
                     self.candidates[s].append(k)
 
-    def log_p(self, word: str, lang: str) -> float:
-        grams, heads, padded, p = self.grams[lang], self.heads[lang], f"^{word}$", 0.0
-        for i in range(len(padded) - 1):
-            a = padded[max(0, i - 1) : i + 1]
-            p += math.log((grams[a + padded[i + 1]] + 0.1) / (heads[a] + 0.1 * self.letters))
-        own = self.words[lang].get(word, 0) / self.total[lang]
-        return math.log(MIX * own + (1 - MIX) * math.exp(max(p, -200.0)) + 1e-300)
+    def gram(self, gram: str) -> tuple[float, ...]:
+        """Log probabilities, one a language, of a gram's last letter after the others."""
+        return tuple(
+            math.log((self.grams[x][gram] + 0.1) / (self.heads[x][gram[:-1]] + 0.1 * self.letters)) for x in self.langs
+        )
 
     def scores(self, word: str) -> tuple[float, ...] | None:
         """0 for the best candidate, less for others, -FLOOR at least; None if the script is unknown."""
@@ -102,9 +101,23 @@ class Model:
         found = self.candidates.get(script_of(word))
         if not found:
             return None
-        logs = {k: self.log_p(word, self.langs[k]) for k in found}
-        best = max(logs.values())
-        return tuple(max(logs[k] - best, -FLOOR) if k in logs else -FLOOR for k in range(len(self.langs)))
+        padded, logs = f"^{word}$", self.logs
+        grams = [padded[:2], *(padded[i : i + 3] for i in range(len(padded) - 2))]
+        rows = []
+        for gram in grams:
+            row = logs.get(gram)
+            if row is None:
+                if len(logs) > MEMO:
+                    logs.clear()
+                row = logs[gram] = self.gram(gram)
+            rows.append(row)
+        sums = list(map(sum, zip(*rows, strict=True)))
+        out = []
+        for k, x in enumerate(self.langs):
+            own = self.words[x].get(word, 0) / self.total[x]
+            out.append(math.log(MIX * own + (1 - MIX) * math.exp(max(sums[k], -200.0)) + 1e-300))
+        best = max(out[k] for k in found)
+        return tuple(max(v - best, -FLOOR) if k in found else -FLOOR for k, v in enumerate(out))
 
 
 def learn(docs: DataFrame, sample_docs: int = 400, max_words: int = 20_000) -> Model:
