@@ -1 +1 @@
-
+"""Column expressions, running scans and exact statistics."""
