@@ -19,7 +19,7 @@ def histogram(df: DataFrame, value: str, group: Sequence[str] = (), weight: str
 
 
 def distribution(df: DataFrame, value: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """One row a group: SUMMARY of the values, exact, rounded to 6 digits; nulls are left out.
+    """One row a group with values: SUMMARY, exact, rounded to 6 digits; nulls are left out.
 
     Values are folded into a histogram first, so what is sorted is a group's distinct values. The
     percentile is linear on (n - 1) * q, the deviation that of the population. The coefficient of
@@ -44,7 +44,7 @@ def distribution(df: DataFrame, value: str, group: Sequence[str] = (), weight: s
         F.sum(F.col("v") * rank).alias("_ranked"),
     )
     gini = 2 * F.col("_ranked") / (F.col("count") * F.col("_total")) - (F.col("count") + 1) / F.col("count")
-    return out.select(
+    return out.where("count > 0").select(
         *group,
         "count",
         round6(F.col("_avg")).alias("avg"),

@@ -32,7 +32,7 @@ def load_profile_phases(profiles: DataFrame, keep: Sequence[str] = (), column: s
     """
     tokens = F.transform(F.split(F.col(column), "->"), lambda t: F.trim(t))
     rows = profiles.select(*keep, F.col(column).alias("_profile"), tokens.alias("_t"))
-    phases = F.expr("transform(sequence(1, greatest(size(_t) - 2, 1), 2), k -> struct(_t[k - 1] as a, _t[k] as d, _t[k + 1] as b))")
+    phases = F.expr("transform(sequence(1, greatest(size(_t) - 2, 1), 2), k -> struct(get(_t, k - 1) as a, get(_t, k) as d, get(_t, k + 1) as b))")
     rows = rows.select(*keep, "_profile", (F.size("_t") >= 3).alias("_long"), (F.size("_t") % 2 == 1).alias("_odd"), F.posexplode(phases).alias("idx", "p"))
     rate, shape = r"^\d+(\.\d+)?$", r"^\(([^,]+),\s*([^)]+)\)$"
     seconds = duration_seconds(F.regexp_extract("p.d", shape, 1))

@@ -87,7 +87,11 @@ MATCH = "topic_id int, partition int, offset bigint, published boolean, processe
 
 
 class BoundedMatch(StatefulProcessor):
-    """One (topic, partition, offset): kinds seen until nothing comes for ttl_ms; then a row is emitted."""
+    """One (topic, partition, offset): kinds seen until nothing comes for ttl_ms; then a row is emitted.
+
+    The time between a key's own records decides, so the result doesn't depend on how they fall into
+    micro-batches; the timer, which follows the watermark, only ends what nothing follows.
+    """
 
     KINDS = ("P", "C", "F", "D")
 
@@ -99,23 +103,26 @@ class BoundedMatch(StatefulProcessor):
         self.seen = handle.getValueState("seen", "p boolean, c boolean, f boolean, d boolean, first_ms bigint, last_ms bigint, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        kinds, times = set(), []
-        for pdf in rows:
-            pdf = pdf[pdf["record_type"].isin(self.KINDS)]
-            kinds |= set(pdf["record_type"])
-            times += pdf["audit_ts_ms"].tolist()
-        if times:
-            flags, first, last, timer = [k in kinds for k in self.KINDS], int(min(times)), int(max(times)), None
-            if self.seen.exists():
-                old = tuple(self.seen.get())
-                flags = [a or b for a, b in zip(flags, old[:4], strict=True)]
-                first, last, timer = min(first, old[4]), max(last, old[5]), old[6]
+        came = sorted((int(t), k) for pdf in rows for t, k in zip(pdf["audit_ts_ms"], pdf["record_type"], strict=True) if k in self.KINDS)
+        out, now, timer = [], None, None
+        if came and self.seen.exists():
+            *flags, first, last, timer = tuple(self.seen.get())
+            now = [flags, first, last]
+        for at, kind in came:
+            if now is not None and at - now[2] > self.ttl_ms:
+                out.append((*key, *now[0], now[1], now[2]))
+                now = None
+            if now is None:
+                now = [[False] * len(self.KINDS), at, at]
+            now[0][self.KINDS.index(kind)] = True
+            now[1], now[2] = min(now[1], at), max(now[2], at)
+        if now is not None:
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            timer = last + self.ttl_ms + 1
+            timer = now[2] + self.ttl_ms + 1
             self.handle.registerTimer(timer)
-            self.seen.update((*flags, first, last, timer))
-        yield self._frame([])
+            self.seen.update((*now[0], now[1], now[2], timer))
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         rows = []
