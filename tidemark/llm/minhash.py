@@ -215,7 +215,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
             further.select("bucket", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("centre_n"), F.col("part").alias("centre_part")),
             "centres",
         )
-        pairs = unsettled.join(further, "bucket").where((F.col("part") != F.col("centre_part")) & similar_size)
+        # a pair that meets in several buckets comes from the least of them alone
+        mine = unsettled.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"))
+        theirs = further.groupBy("centre").agg(F.collect_set("bucket").alias("theirs"))
+        left = materialize(spark, unsettled.select("bucket", "doc_id", "n_shingles", "part").join(mine, "doc_id"), "unsettled")
+        right = materialize(spark, further.join(theirs, "centre"), "centres")
+        once = F.array_min(F.array_intersect("mine", "theirs")) == F.col("bucket")
+        pairs = left.join(right, "bucket").where((F.col("part") != F.col("centre_part")) & similar_size & once)
         fresh = materialize(spark, _ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(spark, confirm(fresh, sets, percent), "links")
         if found.isEmpty():
