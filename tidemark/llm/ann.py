@@ -9,10 +9,11 @@ the nearest's; the ratio is calibrated on the sample, so that TARGET of the true
 queries lie in probed lists. Scores are exact cosines, in double precision, of the original vectors.
 
 Bounds. The sample (`sample` vectors at most) and the centroids (`most_lists`) are parameters; nothing
-else comes to the driver but one count for each list. Equal vectors are folded first: of a vector's
+else comes to the driver but two counts for each list. Equal vectors are folded first: of a vector's
 copies only the `k` + 1 smallest ids can be among a query's k nearest, so a vector that a third of all
-rows share is one entry. A list longer than BLOCK is cut into blocks and one with more queries than
-QUERIES into query shares, each pair of which is one group, so a hot list is never one task.
+rows share is one entry. Neighbouring lists share a bin of about BLOCK vectors; a list longer than
+BLOCK is cut into blocks and a bin with more queries than QUERIES into query shares, each pair of which
+is one group, so a hot list is never one task.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
 rows without vec_id; vectors of another length than most of the sample take no part either. Repeated
@@ -193,36 +194,15 @@ def nearest(frame: DataFrame, is_query: Column, k: int = 5, **options) -> DataFr
     queries = asked.select("vec_id", "embedding").mapInPandas(
         placing("probes_of"), "vec_id bigint, embedding array<double>, list array<int>"
     )
-    queries = materialize(spark, queries, "queries").select(F.col("vec_id").alias("q"), F.col("embedding").alias("target"), F.explode("list").alias("list"))
-    long = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    many = queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
-    cuts = materialize(spark, long.join(many, "list"), "cuts")  # a row for each list
-    last = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    left = queries.join(F.broadcast(cuts), "list").select(
-        "q", "target", "list", F.pmod(F.xxhash64("q"), F.col("shares")).cast("int").alias("share"), F.explode(last("blocks")).alias("block")
-    )
-    right = postings.join(F.broadcast(cuts), "list").select(
-        "vec_id", "ids", "embedding", "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(last("shares")).alias("share")
-    )
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "vec_id": [], "ids": [], "score": []})
-        scores = cosines(matrix(a["target"]), matrix(b["embedding"]))
-        reps, m = b["vec_id"].to_numpy(), min(k + 1, len(b))
-        best = np.lexsort((np.broadcast_to(reps, scores.shape), -scores), axis=1)[:, :m]
-        flat = best.ravel()
-        return pd.DataFrame(
-            {
-                "q": np.repeat(a["q"].to_numpy(), m),
-                "vec_id": reps[flat],
-                "ids": b["ids"].to_numpy()[flat],
-                "score": np.take_along_axis(scores, best, 1).ravel(),
-            }
-        )
-
-    group = ["list", "block", "share"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, "q bigint, vec_id bigint, ids array<bigint>, score double")
+    queries = materialize(spark, queries.withColumnsRenamed({"vec_id": "q", "embedding": "target"}), "queries")
+    cuts = _cuts(postings, queries)
+    listed = spark.createDataFrame(cuts[["list", "bin", "blocks", "shares"]], "list int, bin int, blocks int, shares int")
+    right = postings.join(F.broadcast(listed), "list").select(  # a row for each list
+        "vec_id", "ids", "embedding", "list", "bin", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+    )
+    left = asked_bins(queries, cuts)
+    found = left.groupBy(*GROUP).cogroup(right.groupBy(*GROUP)).applyInPandas(best_of(k), "q bigint, vec_id bigint, ids array<bigint>, score double")
     top = found.dropDuplicates(["q", "vec_id"]).withColumn(
         "n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     )
@@ -240,6 +220,86 @@ def nearest(frame: DataFrame, is_query: Column, k: int = 5, **options) -> DataFr
     )
 
 
+GROUP = ["bin", "block", "share"]
+
+
+def _cuts(postings: DataFrame, queries: DataFrame) -> pd.DataFrame:
+    """list, bin, blocks, shares: how lists are dealt to groups. One row a list comes to the driver.
+
+    Lists that follow one another, which are near one another, share a bin of about BLOCK vectors, so a
+    query is sent to a bin, and answered by it, once. A list longer than BLOCK is a bin of several blocks.
+    """
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).toPandas()
+    asked = queries.select(F.explode("list").alias("list")).groupBy("list").agg(F.count("*").alias("asked")).toPandas()
+    cuts = sizes.merge(asked, on="list").sort_values("list", ignore_index=True)
+    cuts["blocks"] = -(-cuts["n"] // BLOCK)
+    bins, room, last = [], 0, -1
+    for n, blocks in zip(cuts["n"], cuts["blocks"], strict=True):
+        if blocks > 1 or n > room:
+            last, room = last + 1, 0 if blocks > 1 else BLOCK
+        bins.append(last)
+        room = max(0, room - n)
+    cuts["bin"] = np.array(bins, np.int32)
+    cuts["shares"] = -(-cuts.groupby("bin")["asked"].transform("max") // QUERIES)
+    return cuts.astype({"list": "int32", "bin": "int32", "blocks": "int32", "shares": "int32"})
+
+
+def asked_bins(queries: DataFrame, cuts: pd.DataFrame) -> DataFrame:
+    """q, target, lists, GROUP: a row for each query and group of the bins of its lists."""
+    dealt = queries.sparkSession.sparkContext.broadcast(cuts.set_index("list")[["bin", "blocks", "shares"]])
+
+    def run(batches):
+        for pdf in batches:
+            rows = pdf[["q", "list"]].explode("list").astype({"list": np.int32}).join(dealt.value, on="list", how="inner")
+            rows = rows.groupby(["q", "bin"], as_index=False).agg(lists=("list", list), blocks=("blocks", "max"), shares=("shares", "max"))
+            rows["share"] = (rows["q"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % rows["shares"]
+            rows["block"] = rows["blocks"].map(lambda n: list(range(n)))
+            rows = rows.explode("block").merge(pdf[["q", "target"]], on="q")
+            yield rows[["q", "target", "lists", *GROUP]]
+
+    return queries.mapInPandas(run, "q bigint, target array<double>, lists array<int>, bin int, block int, share int")
+
+
+def best_of(k: int):
+    """A group's k + 1 best of each query, over the lists that the query asks for."""
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"q": [], "vec_id": [], "ids": [], "score": []})
+        if not len(a) or not len(b):
+            return none
+        targets, vectors = matrix(a["target"]), matrix(b["embedding"])
+        q, reps = a["q"].to_numpy(), b["vec_id"].to_numpy()
+        asking: dict[int, list[int]] = {}
+        for row, lists in enumerate(a["lists"]):
+            for x in lists:
+                asking.setdefault(x, []).append(row)
+        parts = []
+        for x, at in b.groupby("list").indices.items():
+            rows = asking.get(x)
+            if rows is None:
+                continue
+            scores, m = cosines(targets[rows], vectors[at]), min(k + 1, len(at))
+            best = np.lexsort((np.broadcast_to(reps[at], scores.shape), -scores), axis=1)[:, :m]
+            parts.append(
+                (np.repeat(q[rows], m), at[best.ravel()], np.take_along_axis(scores, best, 1).ravel())
+            )
+        if not parts:
+            return none
+        query, at, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+        # a vector of several lists comes once, by its best place
+        order = np.lexsort((-score, reps[at], query))
+        first = np.ones(len(order), bool)
+        first[1:] = (query[order][1:] != query[order][:-1]) | (reps[at][order][1:] != reps[at][order][:-1])
+        once = order[first]
+        once = once[np.lexsort((reps[at[once]], -score[once], query[once]))]
+        starts = np.flatnonzero(np.concatenate([[True], query[once][1:] != query[once][:-1]]))
+        place = np.arange(len(once)) - np.repeat(starts, np.diff([*starts, len(once)]))
+        once = once[place <= k]
+        return pd.DataFrame({"q": query[once], "vec_id": reps[at[once]], "ids": b["ids"].to_numpy()[at[once]], "score": score[once]})
+
+    return compare
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All cosines of rows of a and b, in double precision."""
     na, nb = np.abs(a).max(1, keepdims=True), np.abs(b).max(1, keepdims=True)
