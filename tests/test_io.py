@@ -333,3 +333,50 @@ def test_mode_without_value_completes_unhandled(spark):
     rows = spark.createDataFrame([("t", 0, 1, "k", None, 1), ("t", 0, 2, "k", "v", 2)], "topic string, partition int, offset bigint, key string, value string, arrival bigint")
     decided = modes.unordered(rows)
     assert modes.handled(decided).count() == 1 and decided.where(F.col("outcome") == "processed").count() == 2
+
+
+def test_progress(spark, tmp_path):
+    from tidemark.operators.metrics import TagSchema
+    from tidemark.streaming.progress import ProgressListener, poll_metrics
+
+    path, ends = f"file://{tmp_path}/log", []
+    rows = log(spark, path)
+    listener = ProgressListener(on_end=ends.append)
+    spark.streams.addListener(listener)
+    try:
+        run(exactly_once(records.stream_log(spark, path, records.Subscription(pattern=".*"))), tmp_path, "out")
+        import time
+
+        for _ in range(100):
+            if ends:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {r.metric: r for r in poll_metrics(listener.frame(spark), TagSchema("shop")).collect()}
+    assert got["shop.consumer.poll.records"].total == len(rows) and ends[0].startswith("S|shutdown|stopped|")
+
+
+def test_settings_fall_back(spark, tmp_path):
+    from tidemark.sources.documents import Settings
+
+    settings = Settings(spark, f"file://{tmp_path}/settings", {"p90": 40, "p95": 80})
+    assert settings.get() == {"p90": 40, "p95": 80}
+    (tmp_path / "settings").mkdir()
+    (tmp_path / "settings" / "a.json").write_text('{"version": 1, "p90": 1}\n{"version": 2, "p90": 9}\n')
+    assert settings.get()["p90"] == 9 and settings.get()["p95"] == 80
+
+
+def test_logs_by_labels(spark, tmp_path):
+    from tidemark.sources.metrics import read_logs, streams
+
+    (tmp_path / "l.jsonl").write_text('{"ts":"5","labels":{"b":"2","a":"1"},"line":"x"}\n{"ts":"3","labels":{"a":"1","b":"2"},"line":"y"}\n{"ts":"4","labels":{},"line":"z"}\n')
+    got = {r.labels_key: (r.entries, r.first_ts, r.last_ts) for r in streams(read_logs(spark, f"file://{tmp_path}/l.jsonl")).collect()}
+    assert got == {"a=1,b=2": (2, 3, 5), "": (1, 4, 4)}
+
+
+def test_dashboard_metrics(spark):
+    from tidemark.operators.metrics import dashboard_metrics
+
+    rows = spark.createDataFrame([("rate(a_total[5m])",), ("a_total{x='1'} / up",)], "expression string")
+    assert [r.metric for r in dashboard_metrics(rows).collect()] == ["a_total", "up"]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import metric_name
+from tidemark.functions.columns import metric_name, referenced_metrics
 
 #: Tag keys that series carry anyway. Fixed values.
 RESERVED_TAGS = ("consumer_id", "topic", "error", "attempt", "success", "reason")
@@ -200,6 +200,11 @@ def finite(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def dashboard_metrics(expressions: DataFrame, column: str = "expression") -> DataFrame:
+    """metric: every metric name that the expressions mention, once, in order."""
+    return expressions.select(F.explode(referenced_metrics(column)).alias("metric")).distinct().orderBy("metric")
+
+
 def scalar(samples: DataFrame, value: str = "value") -> DataFrame:
     """One row, value: the sum of the finite values; null if there is none."""
     return samples.where(finite(value)).agg(F.sum(value).alias("value"))
