@@ -26,10 +26,10 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, rows_of
+from .common import kept, map_batches, rows_of
 
 #: Memoised pieces and transducer states; beyond it a memo is cleared and built again.
-MEMO = 150_000
+MEMO = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -297,19 +297,15 @@ def decode_stream(chunks: Iterable[Iterable[int]], token: dict[int, bytes]) -> I
     yield machine.close()
 
 
-#: One encoder is kept by a Python worker from task to task, so that its memos stay warm.
-_KEPT: dict[tuple[bytes, str], tuple[Encoder, dict[int, bytes], dict[int, str]]] = {}
-
-
 def encoder_of(raw: bytes, pattern: str) -> tuple[Encoder, dict[int, bytes], dict[int, str]]:
-    """Encoder, bytes of an id and decimal of an id, for a rank file's content."""
-    key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _KEPT:
+    """Encoder, bytes of an id and decimal of an id, for a rank file's content; kept by a worker."""
+
+    def make() -> tuple[Encoder, dict[int, bytes], dict[int, str]]:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
         encoder = Encoder(ranks, pattern)
-        _KEPT.clear()
-        _KEPT[key] = encoder, encoder.machine.token, {i: str(i) for i in ranks.values()}
-    return _KEPT[key]
+        return encoder, encoder.machine.token, {i: str(i) for i in ranks.values()}
+
+    return kept(("encoder", hashlib.sha256(raw).digest(), pattern), make)
 
 
 ENCODED = "doc_id bigint, token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -330,11 +326,11 @@ def encode_documents(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, token, decimal = encoder_of(raw.value, pattern)
-        kept, counts, ids_sha, text_sha = [], [], [], []
+        lists_of, counts, ids_sha, text_sha = [], [], [], []
         for text in rows_of(batch.column(1)):
             ids = encoder.encode(text)
             counts.append(len(ids))
-            kept.append(pa.array(ids, pa.int32()) if keep_ids else None)
+            lists_of.append(pa.array(ids, pa.int32()) if keep_ids else None)
             if digests:
                 ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
@@ -343,7 +339,7 @@ def encode_documents(
             offsets = [0]
             for n in counts:
                 offsets.append(offsets[-1] + n)
-            flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+            flat = pa.concat_arrays(lists_of) if lists_of else pa.array([], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
         else:
             lists = pa.nulls(batch.num_rows, pa.list_(pa.int32()))

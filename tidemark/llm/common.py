@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,10 +43,22 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch of texts: what a batch holds exists several times over, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch to BATCH_ROWS; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
-    """fn over Arrow batches; a batch is bounded by Spark's rows and bytes limits."""
+    """fn over Arrow batches; a batch is bounded by BATCH_ROWS and Spark's bytes limit."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +70,23 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, whichever operator made it.
+
+    Workers outlive stages, so what each operator of a pipeline kept would add up in every one of them.
+    """
+    found = _KEPT.get(key)
+    if found is None:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        found = _KEPT[key] = make()
+    return found
+
+
 def rows_of(column: pa.Array) -> Iterator:
     """Values one by one, so that only one text at a time is a Python object."""
     return (x.as_py() for x in column)

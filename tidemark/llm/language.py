@@ -23,13 +23,14 @@ import math
 import pickle
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, rows_of
+from .common import bounded_batches, kept, rows_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: (first code point, script); a script goes on to the next row's start.
@@ -47,7 +48,8 @@ SCRIPTS = [
 _STARTS = [a for a, _ in SCRIPTS]
 #: Weight of a word's own frequency against the trigram model; how far below the best a score may be.
 MIX, FLOOR = 0.6, 8.0
-MEMO = 500_000
+#: Words whose scores are remembered; beyond it all are forgotten, after a group of texts.
+MEMO = 200_000
 
 
 def script_of(word: str) -> str:
@@ -222,42 +224,61 @@ class Labeller:
         return out
 
 
-#: One labeller is kept by a Python worker from task to task.
-_KEPT: dict[bytes, Labeller] = {}
+#: Texts that are labelled together: a step of Viterbi costs much the same for one text and for thousands.
+GROUP_ROWS, GROUP_WORDS = 8192, 4_000_000
 
 
-def _shipped(docs: DataFrame, model: Model, penalty: float):
-    """A function for tasks that gives the labeller of a broadcast model."""
+def _shipped(docs: DataFrame, model: Model, penalty: float) -> Callable[[], Labeller]:
+    """A function for tasks that gives the labeller of a broadcast model; a worker keeps it."""
     raw = pickle.dumps(model)
     shipped, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).digest() + str(penalty).encode()
-
-    return lambda: _kept(key, shipped, penalty)
-
-
-def _kept(key: bytes, shipped, penalty: float) -> Labeller:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Labeller(pickle.loads(shipped.value), penalty)
-    if len(_KEPT[key].ids) > MEMO:
-        _KEPT[key].reset()
-    return _KEPT[key]
+    return lambda: kept(("labeller", key), lambda: Labeller(pickle.loads(shipped.value), penalty))
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], labeller: Labeller, at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Batches with the words and labels of column `at`; bounded groups of batches are labelled at once."""
+    none = np.zeros(0, np.int32)
+    known = bool(labeller.model.langs)
+    held: list[pa.RecordBatch] = []
+    words: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+        labels, k = labeller.label(words), 0
+        for b in held:
+            yield b, words[k : k + b.num_rows], labels[k : k + b.num_rows]
+            k += b.num_rows
+        held.clear(), words.clear()
+        if len(labeller.ids) > MEMO:
+            labeller.reset()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [labeller.words(t) if t and known else none for t in rows_of(batch.column(at))]
+        held.append(batch)
+        words += own
+        size += sum(map(len, own))
+        if len(words) >= GROUP_ROWS or size >= GROUP_WORDS:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, penalty: float = 6.0) -> DataFrame:
     """docs' rows whose text has a language: some letter, and one language for least_score of its words."""
+    bounded_batches(docs.sparkSession)
     labeller_of, at = _shipped(docs, model, penalty), docs.columns.index("text")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labeller = labeller_of()
-        none = np.zeros(0, np.int32)
-        texts = [labeller.words(t) if t else none for t in rows_of(batch.column(at))]
-        kept = []
-        for ids, labels in zip(texts, labeller.label(texts), strict=True):
-            scored = labels[ids > 1]
-            kept.append(bool(len(scored)) and np.bincount(scored).max() >= least_score * len(scored))
-        return batch.filter(pa.array(kept, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words, labels in _labelled(batches, labeller_of(), at):
+            found = []
+            for ids, label in zip(words, labels, strict=True):
+                scored = label[ids > 1]
+                found.append(bool(len(scored)) and np.bincount(scored).max() >= least_score * len(scored))
+            yield batch.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 PREDICTED = "doc_id bigint, lang_pred string, score double, spans string"
@@ -269,39 +290,39 @@ def predict(docs: DataFrame, model: Model, penalty: float = 6.0) -> DataFrame:
     spans: `start:end:language` of the runs, comma-joined, code points; of a text in one language only
     the whole. One pass without a shuffle; the model is broadcast, its size is bounded by learn().
     """
+    bounded_batches(docs.sparkSession)
     labeller_of = _shipped(docs, model, penalty)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = labeller_of()
         langs = labeller.model.langs
-        known = bool(langs)
-        column = batch.column(1)
-        texts = [labeller.words(t) if t and known else np.zeros(0, np.int32) for t in rows_of(column)]
-        pred, score, spans = [], [], []
-        for k, (ids, labels) in enumerate(zip(texts, labeller.label(texts), strict=True)):
-            letters, scored = ids != 1, ids > 1
-            n = int(scored.sum())
-            if n:
-                counts = np.bincount(labels[scored], minlength=len(langs))
-                best = int(counts.argmax())
-                pred.append(langs[best])
-                score.append(float(counts[best]) / n)
-                spans.append(_spans(column[k].as_py(), ids, labels, langs))
-            elif letters.any():
-                pred.append(langs[labeller.model.first])
-                score.append(0.0)
-                spans.append("")
-            else:
-                pred.append("und")
-                score.append(0.0)
-                spans.append("")
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())],
-            names=["doc_id", "lang_pred", "score", "spans"],
-        )
+        for batch, words, labelled in _labelled(batches, labeller, 1):
+            column = batch.column(1)
+            pred, score, spans = [], [], []
+            for k, (ids, labels) in enumerate(zip(words, labelled, strict=True)):
+                letters, scored = ids != 1, ids > 1
+                n = int(scored.sum())
+                if n:
+                    counts = np.bincount(labels[scored], minlength=len(langs))
+                    best = int(counts.argmax())
+                    pred.append(langs[best])
+                    score.append(float(counts[best]) / n)
+                    spans.append(_spans(column[k].as_py(), ids, labels, langs))
+                elif letters.any():
+                    pred.append(langs[labeller.model.first])
+                    score.append(0.0)
+                    spans.append("")
+                else:
+                    pred.append("und")
+                    score.append(0.0)
+                    spans.append("")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())],
+                names=["doc_id", "lang_pred", "score", "spans"],
+            )
 
     narrow = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return map_batches(narrow, run, PREDICTED)
+    return narrow.mapInArrow(run, PREDICTED)
 
 
 def _spans(text: str, ids: np.ndarray, labels: np.ndarray, langs: list[str]) -> str:

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, rows_of
+from .common import kept, map_batches, materialize, rows_of
 from .graph import connected_components
 from .urls import build_filter, probe
 
 BINS, BANDS, ROWS = 128, 25, 5
 #: Further centres of a bucket in a round, of its largest component and of the others each.
 CENTRES = 4
-MEMO = 300_000
+MEMO = 150_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -61,9 +61,6 @@ class _Words(dict):
         return found
 
 
-_WORDS = _Words()
-
-
 def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles: A-Z lowered, words between ASCII white space.
 
@@ -72,7 +69,7 @@ def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
     words = raw.lower().split() if raw else []
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(kept("words of shingles", _Words).__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
     with np.errstate(over="ignore"):
         h = np.full(len(words) - n + 1, np.uint64(n) if n < width else np.uint64(0))
