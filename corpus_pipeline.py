@@ -32,12 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id. Rows without doc_id go."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = materialize(spark, kept, "kept")
-    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if rows.count() > kept.count():  # a doc_id that comes more than once: the first text in order
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows
+    return minhash.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,22 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (301, 300)]
     got = dict(graph.connected_components(spark, spark.createDataFrame(edges, "u bigint, v bigint")).collect())
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 160)} | {300: 300, 301: 300}
+
+
+def test_dropping_keeps_one_row_of_each_component(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away into the dark wood again " * 3
+    rows = [(5, text, "a", True), (3, text + "x", "b", False), (9, "something else entirely that stands alone here", "c", True)]
+    rows += [(9, "something else entirely that stands alone here", "c", True), (None, text, "d", True), (11, None, "e", None), (12, "", "e", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept string, may boolean")
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.kept) for r in out.collect()) == [(3, "b"), (9, "c"), (11, "e"), (12, "e")]
+    assert minhash.drop_near_duplicates(docs.where("false")).count() == 0
+
+
+def test_without(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "id as may", "id as listed")
+    ids = spark.range(0, 500, 7).withColumnRenamed("id", "doc_id")
+    got = minhash.without(docs, ids)
+    assert sorted(r.doc_id for r in got.collect()) == [k for k in range(500) if k % 7] and got.columns == docs.columns
+    assert minhash.without(docs, ids.where("false")).count() == 500

@@ -27,11 +27,12 @@ sets all stand for it. Extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches, materialize, rows_of
+from .common import bounded_batches, kept, map_batches, materialize, rows_of
 from .graph import connected_components
 from .urls import build_filter, probe
 
@@ -232,6 +233,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+    """docs' rows, one for each component: that of the smallest doc_id. Rows without doc_id go.
+
+    Texts are not shuffled: a Bloom filter of bounded size passes rows that can't be of a dropped
+    document; only the others go to the exact anti-join. Of rows that share a doc_id one stays.
+    """
+    spark = docs.sparkSession
+    found = near_duplicates(docs, percent, width).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = materialize(spark, found, "found")
+    dropped = found.where("not kept and doc_id is not null").select("doc_id")
+    rows = without(docs.where("doc_id is not null"), dropped)
+    if not found.where("kept and n > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs' rows whose doc_id isn't in ids (distinct, not null)."""
+    names = docs.columns
+    key = F.col("doc_id").cast("bigint")
+    bloom = docs.sparkSession.sparkContext.broadcast(build_filter(ids.select(F.col("doc_id").cast("bigint").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(h: pd.Series) -> pd.Series:
+        return pd.Series(probe(bloom.value, h.to_numpy(np.int64)))
+
+    bounded_batches(docs.sparkSession)
+    may, listed = (prefix + "_" * max(map(len, names)) for prefix in ("may", "listed"))  # no column of docs
+    marked = docs.withColumn(may, may_be_listed(F.xxhash64(key)))
+    rest = marked.where(F.col(may)).join(ids.select(F.col("doc_id").cast("bigint").alias(listed)), key == F.col(listed), "left_anti")
+    return marked.where(~F.col(may)).select(*names).unionAll(rest.select(*names))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
