@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import kept, map_batches, rows_of
 
-#: Memoised pieces and transducer states; beyond it a memo is cleared and built again.
-MEMO = 100_000
+#: Memoised pieces, and transducer states; beyond it a memo is cleared and built again.
+MEMO, STATES = 120_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +77,9 @@ class Transducer:
         start = (self.NONE << 20,)
         self.ids = {start: 0}
         self.states = [start]
+        #: token in which the encoding ends, by state
+        self.last_of = [-1]
+        #: state << 8 | byte -> state
         self.moves: dict[int, int] = {}
 
     def merge(self, raw: bytes, parts_wanted: int = 1) -> list[int]:
@@ -118,7 +121,7 @@ class Transducer:
         found = self.pairs.get(key)
         if found is None:
             found = self.pairs[key] = self._fits(a, b)
-            if len(self.pairs) > 8 * MEMO:
+            if len(self.pairs) > 4 * STATES:
                 self.pairs.clear()
         return found
 
@@ -137,19 +140,27 @@ class Transducer:
                 limit, b = b + 1, right[0]
 
     def step(self, state: int, byte: int) -> int:
-        """Next state << 20 | last token, of a transition that isn't known yet."""
+        """Next state, of a transition that isn't known yet."""
         new, last, none = [], -1, self.NONE
+        next_of, inner, ends, pairs = self.next, self.inner, self.ends, self.pairs
         for guess in self.states[state]:
-            to = self.next.get((guess & none) << 8 | byte)
+            to = next_of.get((guess & none) << 8 | byte)
             if to is None:
                 continue
             left = guess >> 20
-            if self.inner[to]:
+            if inner[to]:
                 new.append(left << 20 | to)
             if last < 0:
-                t = self.ends[to]
-                if t >= 0 and self.is_own(t) and (left == none or self.fits(left, t)):
-                    last = t
+                t = ends[to]
+                if t >= 0:
+                    if not self.is_own(t):
+                        ends[to] = -1  # never a token of an encoding
+                    elif left == none:
+                        last = t
+                    else:
+                        fits = pairs.get(left << 20 | t)
+                        if self.fits(left, t) if fits is None else fits:
+                            last = t
         if last < 0:
             raise ValueError("a byte without a token of its own")
         new.append(last << 20)
@@ -158,29 +169,46 @@ class Transducer:
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = to << 20 | last
-        return move
+            self.last_of.append(last)
+        self.moves[state << 8 | byte] = to
+        return to
 
     def encode(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of one piece. A piece that is itself in the vocabulary is that token."""
+        """Ids of one piece. A piece that is itself in the vocabulary is that token; a long one is streamed."""
         whole = self.ranks.get(raw)
-        return (whole,) if whole is not None else tuple(self.stream(raw))
+        if whole is not None:
+            return (whole,)
+        if len(raw) > 64 * self.longest:
+            return tuple(self.stream(raw))
+        if len(self.states) > STATES:
+            self.clear()
+        state, moves, last_of, length = 0, self.moves, self.last_of, self.length
+        passed = []
+        for byte in raw:
+            to = moves.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            passed.append(state)
+        out, at = [], len(passed)
+        while at:
+            t = last_of[passed[at - 1]]
+            out.append(t)
+            at -= length[t]
+        out.reverse()
+        return tuple(out)
 
     def stream(self, raw: Iterable[int]) -> Iterator[int]:
         """Ids of a piece, each as soon as no later byte can change it.
 
         Live guesses start within the longest token's length, so what their chains share is final.
         """
-        if len(self.states) > MEMO:
+        if len(self.states) > STATES:
             self.clear()
         lasts: list[int] = []
         state, moves, room = 0, self.moves, 64 * self.longest
         for byte in raw:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self.step(state, byte)
-            lasts.append(move & 0xFFFFF)
-            state = move >> 20
+            to = moves.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            lasts.append(self.last_of[state])
             if len(lasts) > room:
                 at = self.settled(lasts)
                 yield from self.chain(lasts[:at])
@@ -197,11 +225,13 @@ class Transducer:
         return low.pop()
 
     def chain(self, lasts: list[int]) -> list[int]:
-        out, at = [], len(lasts)
+        out, at, length = [], len(lasts), self.length
         while at:
-            out.append(lasts[at - 1])
-            at -= self.length[lasts[at - 1]]
-        return out[::-1]
+            t = lasts[at - 1]
+            out.append(t)
+            at -= length[t]
+        out.reverse()
+        return out
 
 
 class Encoder:
@@ -212,6 +242,7 @@ class Encoder:
 
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
+        self.decimal = {i: str(i) for i in ranks.values()}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -222,9 +253,10 @@ class Encoder:
         pieces = self.split(text)
         found = list(map(memo.get, pieces))
         if None in found:
-            encode, old = self.machine.encode, self.old
-            for k, ids in enumerate(found):
-                if ids is None:
+            encode, old, k = self.machine.encode, self.old, -1
+            try:
+                while True:
+                    k = found.index(None, k + 1)
                     piece = pieces[k]
                     ids = memo.get(piece)
                     if ids is None:
@@ -232,6 +264,8 @@ class Encoder:
                         if len(piece) <= 64:  # a long piece hardly comes again
                             memo[piece] = ids
                     found[k] = ids
+            except ValueError:  # no further piece is missing
+                pass
             if len(memo) > MEMO:
                 self.old, self.memo = memo, {}
         return list(chain.from_iterable(found))
@@ -297,13 +331,11 @@ def decode_stream(chunks: Iterable[Iterable[int]], token: dict[int, bytes]) -> I
     yield machine.close()
 
 
-def encoder_of(raw: bytes, pattern: str) -> tuple[Encoder, dict[int, bytes], dict[int, str]]:
-    """Encoder, bytes of an id and decimal of an id, for a rank file's content; kept by a worker."""
+def encoder_of(raw: bytes, pattern: str) -> Encoder:
+    """Encoder for a rank file's content; kept by a worker."""
 
-    def make() -> tuple[Encoder, dict[int, bytes], dict[int, str]]:
-        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
-        encoder = Encoder(ranks, pattern)
-        return encoder, encoder.machine.token, {i: str(i) for i in ranks.values()}
+    def make() -> Encoder:
+        return Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
 
     return kept(("encoder", hashlib.sha256(raw).digest(), pattern), make)
 
@@ -325,15 +357,17 @@ def encode_documents(
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, token, decimal = encoder_of(raw.value, pattern)
+        encoder = encoder_of(raw.value, pattern)
+        decimal, token = encoder.decimal.__getitem__, encoder.machine.token.__getitem__
         lists_of, counts, ids_sha, text_sha = [], [], [], []
         for text in rows_of(batch.column(1)):
             ids = encoder.encode(text)
             counts.append(len(ids))
-            lists_of.append(pa.array(ids, pa.int32()) if keep_ids else None)
+            if keep_ids:
+                lists_of.append(pa.array(ids, pa.int32()))
             if digests:
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
         none = pa.nulls(batch.num_rows, pa.string())
         if keep_ids:
             offsets = [0]
