@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from tidemark.llm import graph, minhash
 
@@ -66,6 +67,46 @@ def test_components_are_those_of_all_pairs(spark):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def crowd(seed=9):
+    """Versions of one text that are no links, and two, not the most typical, that link with each other alone."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for n in range(400):
+        made = list(base)
+        few = n in (150, 250)
+        for k in rng.sample(range(2, 58, 4), 5) if few else rng.sample(range(64, 396, 4), 8):
+            made[k] = f"own{n}x{k}"
+        rows.append((n, " ".join(made)))
+    return rows
+
+
+def test_links_within_a_crowded_bucket_are_found(spark):
+    rows = crowd()
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == want
+
+
+def test_pairs_by_bitmaps_miss_no_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        h = np.concatenate([rng.permutation(base)[: 600 - rng.integers(0, 60)], rng.integers(0, 2**63, rng.integers(0, 50), dtype=np.uint64)])
+        sets.append(np.sort(h))
+    part = pd.DataFrame({"doc_id": range(120), "part": range(120), "largest": 0, "n_set": list(map(len, sets)), "mine": 0, "i": 0, "j": 0})
+    part["bits"] = [minhash.bitmap(h).view(np.int64) for h in sets]
+    near = lambda a, b: 100 * (s := len(np.intersect1d(a, b))) >= 85 * (len(a) + len(b) - s)
+    want = {(a, b) for b in range(120) for a in range(b) if near(sets[a], sets[b])}
+    got = minhash.likely_pairs(part, 85, 10**6)
+    assert want <= set(zip(got.a, got.b, strict=True)) and 0 < len(want) < 7000 and not got.more.any()
+    part["part"] = [0] * 60 + [1] * 60
+    few = minhash.likely_pairs(part, 85, 2)
+    assert few.more.any() and few.groupby("b").size().max() <= 2
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(docs).count() == 0

@@ -7,13 +7,13 @@ fixed sequence of random bins. Bands of ROWS bins give buckets. Equal sets are f
 first. In each bucket the member that shares the most crowded buckets is the centre of a star, and only
 (member, centre) pairs are candidates; these are confirmed on full sets and joined into components.
 
-Stars alone could lose a link between two members that the centre doesn't tie together. The centre is
-therefore the member that most resembles the rest, and buckets whose members are still in several
-components get further stars: in each round the next CENTRES best members of the largest component and
-the next CENTRES of the others are centres, paired with members of other components only. Rounds go on
-as long as one finds a link. Pairs stay linear in a bucket's size; a bucket of up to 2 * CENTRES members
-is tested in full. A pair at the threshold itself shares no bucket with probability
-(1 - 0.85**5)**25, under 1e-6.
+Stars alone could lose a link between two members that the centre doesn't tie together. So in buckets
+whose members are still in several components, all pairs of different components are compared, block
+against block of about MEMBERS members, by bitmaps of their sets' parities: the bits in which two differ
+are no more than the hashes in which they do, so no link is passed over. What passes is confirmed on
+full sets, of each member the likeliest pairs with a component first; rounds go on, with more pairs of
+each, until all that pass are tested or within one component. Each pair of documents that shares a bucket is thus decided; a
+pair at the threshold itself shares none with probability (1 - 0.85**5)**25, under 1e-6.
 
 Skew. Buckets, classes and centres with very many members are hot keys of joins between written tables,
 which AQE splits; sums are combined before they are shuffled. A Bloom filter of bounded size picks the
@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, kept, map_batches, materialize, rows_of
@@ -37,8 +37,8 @@ from .graph import connected_components
 from .urls import build_filter, probe
 
 BINS, BANDS, ROWS = 128, 25, 5
-#: Further centres of a bucket in a round, of its largest component and of the others each.
-CENTRES = 4
+#: Pairs of a member with another component in a first round, and members of a block.
+LIKELIEST, MEMBERS = 4, 1024
 MEMO = 150_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -193,39 +193,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     sets = materialize(spark, full_sets(docs, members.select("doc_id").distinct(), width), "sets")
     edges = materialize(spark, confirm(tested, sets, percent), "links")
     parts = connected_components(spark, edges)
-    done = 0
+    bitmaps, most = None, LIKELIEST
     while True:
         placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select(
-            "bucket", "doc_id", "n_shingles", "rank", F.coalesce("component", "doc_id").alias("part")
+            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")
         )
-        placed = materialize(spark, placed, "placed")
+        placed = materialize(spark, placed.distinct(), "placed")
         split = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        split = split.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top"))
-        split = materialize(spark, split.where("parts > 1").select("bucket", F.col("top.part").alias("largest")), "split")
+        split = split.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
+        # of two members the star has tested the only pair
+        split = split.where("parts > 1 and n > 2").select("bucket", "n", F.col("top.part").alias("largest"))
+        split = materialize(spark, split, "split")
         if split.isEmpty():
             break
-        unsettled = placed.join(split, "bucket").withColumn("outside", F.col("part") != F.col("largest"))
-        unsettled = materialize(spark, unsettled, "unsettled")
-        order = F.row_number().over(Window.partitionBy("bucket", "outside").orderBy(F.desc("rank")))
-        further = unsettled.withColumn("k", order).where(F.col("k") <= done + CENTRES).where(F.col("k") > done)
-        further = materialize(
-            spark,
-            further.select("bucket", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("centre_n"), F.col("part").alias("centre_part")),
-            "centres",
-        )
-        # a pair that meets in several buckets comes from the least of them alone
-        mine = unsettled.groupBy("doc_id").agg(F.collect_set("bucket").alias("mine"))
-        theirs = further.groupBy("centre").agg(F.collect_set("bucket").alias("theirs"))
-        left = materialize(spark, unsettled.select("bucket", "doc_id", "n_shingles", "part").join(mine, "doc_id"), "unsettled")
-        right = materialize(spark, further.join(theirs, "centre"), "centres")
-        once = F.array_min(F.array_intersect("mine", "theirs")) == F.col("bucket")
-        pairs = left.join(right, "bucket").where((F.col("part") != F.col("centre_part")) & similar_size & once)
-        fresh = materialize(spark, _ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if bitmaps is None:
+            bitmaps = materialize(spark, map_batches(sets, _bitmaps, "doc_id bigint, n_set bigint, bits array<bigint>"), "bitmaps")
+        unsettled = materialize(spark, placed.join(split, "bucket"), "unsettled")
+        likely = materialize(spark, _across(unsettled, bitmaps, percent, most), "likely")
+        fresh = materialize(spark, likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(spark, confirm(fresh, sets, percent), "links")
-        if found.isEmpty():
+        more = not likely.where("more").isEmpty()
+        tested = tested.unionAll(fresh)
+        if not found.isEmpty():
+            edges = edges.unionAll(found)
+            parts = connected_components(spark, edges)
+        else:
+            most *= 8
+        if not more:
             break
-        edges, tested, done = edges.unionAll(found), tested.unionAll(fresh), done + CENTRES
-        parts = connected_components(spark, edges)
     placed = folded.select("doc_id", "n_shingles", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -266,6 +261,95 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.where(~F.col(may)).select(*names).unionAll(rest.select(*names))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes by their low bits, two bits a hash at least, as a power of two of words."""
+    words = 1 << max(2, (len(hashes) // 32).bit_length())
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _bitmaps(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows_of(batch.column(1))]
+    bits = pa.array([bitmap(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), bits], names=["doc_id", "n_set", "bits"])
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows, words) as they would be with fewer words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def likely_pairs(part: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
+    """a, b, more: pairs of different parts of two blocks (mine = i and j) whose bitmaps let them be links.
+
+    A pair is its member's outside the bucket's largest part. Of a member's pairs with another part the
+    `most` nearest are returned; `more` tells that there are others.
+    """
+    doc, comp, n, mine = (part[c].to_numpy() for c in ("doc_id", "part", "n_set", "mine"))
+    outside = comp != part["largest"].to_numpy()
+    i, j = part["i"].iloc[0], part["j"].iloc[0]
+    words = part["bits"].map(len).to_numpy()
+    levels = {}  # by number of words: bitmaps of all rows that have as many
+    for w in np.unique(words):
+        rows = np.flatnonzero(words >= w)
+        place = np.full(len(part), -1)
+        place[rows] = np.arange(len(rows))
+        stacked = np.empty((len(rows), w), np.uint64)
+        for have in np.unique(words[rows]):
+            own = np.flatnonzero(words[rows] == have)
+            stacked[own] = _folded(np.stack([np.asarray(b, np.int64) for b in part["bits"].to_numpy()[rows[own]]]).view(np.uint64), w)
+        levels[w] = place, stacked
+    at = np.arange(len(part))
+    out = []
+    for a in np.flatnonzero(mine == i):
+        other = (mine == j) & (comp != comp[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+        if i == j:
+            other &= at > a
+        other = np.flatnonzero(other)
+        for w in np.unique(np.minimum(words[other], words[a])):
+            b = other[np.minimum(words[other], words[a]) == w]
+            place, stacked = levels[w]
+            differ = np.bitwise_count(stacked[place[b]] ^ stacked[place[a]]).sum(1, dtype=np.int64)
+            near = (100 + percent) * differ <= (100 - percent) * (n[b] + n[a])
+            if near.any():
+                out.append(np.stack([np.full(near.sum(), a), b[near], 1_000_000 * differ[near] // (n[b[near]] + n[a])]))
+    if not out:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "more": np.zeros(0, bool)})
+    x, y, far = np.concatenate(out, 1)
+    turn = (outside[y] > outside[x]) | ((outside[y] == outside[x]) & (doc[y] > doc[x]))
+    x, y = np.where(turn, y, x), np.where(turn, x, y)
+    order = np.lexsort((doc[y], far, comp[y], doc[x]))
+    x, y = x[order], y[order]
+    first = np.concatenate([[True], (doc[x][1:] != doc[x][:-1]) | (comp[y][1:] != comp[y][:-1])])
+    start = np.flatnonzero(first)
+    count = np.diff(np.append(start, len(x)))
+    taken = np.arange(len(x)) - np.repeat(start, count) < most
+    more = np.repeat(count > most, count)
+    u, v = doc[x][taken], doc[y][taken]
+    return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "more": more[taken]})
+
+
+def _across(unsettled: DataFrame, bitmaps: DataFrame, percent: int, most: int) -> DataFrame:
+    """likely_pairs of all buckets of unsettled (bucket, doc_id, part, n, largest); small buckets share groups."""
+    rows = unsettled.withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    bins = max(1, unsettled.count() // MEMBERS)
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "doc_id", "part", "largest", "mine",
+        F.when(F.col("blocks") > 1, F.xxhash64("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))).alias("group"),
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([likely_pairs(part, percent, most) for _, part in pdf.groupby("bucket")])
+
+    return spread.join(bitmaps, "doc_id").groupBy("group", "i", "j").applyInPandas(run, "a bigint, b bigint, more boolean")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
