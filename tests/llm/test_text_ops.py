@@ -123,6 +123,19 @@ def values(text):
     return [text[s.start : s.end] for s in secrets.scan(text.encode()) if s.kind == "literal"]
 
 
+def test_prefilter_skips_no_sensitive_name():
+    value = "Zx81kQ-93vTr_71Lm"
+    names = list(secrets.SENSITIVE)
+    for a, b in secrets.SENSITIVE_PAIRS:
+        names += [a + sep + b for sep in ("_", "-", ".")] + [a + b.title(), a.upper() + b.title(), f"stripe.{a}.{b}"]
+    for name in names:
+        for text in (f'{name} = "{value}"', f"{name}={value}\n", f'{{"{name}": "{value}"}}', f"{name.upper()}: '{value}'"):
+            base = secrets.base_spans(text)
+            want = [*base, *secrets.lexed_spans(text, base, 0.5)]
+            assert sorted(secrets.scan(text.encode())) == sorted(want), text
+    assert values(f'bearer = "{value}"') == values(f"stripe.api.key={value}") == [value]
+
+
 def test_lexer_finds_literals_of_sensitive_names():
     assert values("dbPwd := 'q9Zr-77Lmw!x'") == ["q9Zr-77Lmw!x"]
     assert values('{"privateKey": "Zx81!kkQ2ppW"}') == ["Zx81!kkQ2ppW"]
