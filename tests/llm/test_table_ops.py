@@ -152,6 +152,23 @@ def test_raking_meets_the_marginals(spark):
             assert sum(got[c] * n for c, n in cells.items() if c[m] == v) / total == pytest.approx(share, rel=1e-3)
 
 
+def test_probabilities_above_one_are_calibrated(spark):
+    rows = [(i, "w " * 10, "ab"[i % 10 < 2], "uv"[i % 7 < 2]) for i in range(700)]  # a: 8 tenths, b: 2; u: 5 sevenths, v: 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    targets = {"source": spark.createDataFrame([("a", 0.78), ("b", 0.22)], "source string, target double")}
+    targets["lang"] = spark.createDataFrame([("u", 0.68), ("v", 0.32)], "lang string, target double")
+    kept = lambda budget: mixing.mix(docs, budget, targets=targets).toPandas().assign(t=lambda x: x.n_tokens * x.probability / 7000)
+    got = kept(0.85)
+    assert got.probability.max() <= 1 and (got.weight * 0.85).max() > 1
+    assert got.t.sum() == pytest.approx(0.85, rel=1e-4)
+    assert got.groupby("source").t.sum().to_dict() == pytest.approx({"a": 0.85 * 0.78, "b": 0.85 * 0.22}, rel=1e-4)
+    assert got.groupby("lang").t.sum().to_dict() == pytest.approx({"u": 0.85 * 0.68, "v": 0.85 * 0.32}, rel=1e-4)
+    got = kept(0.95)  # more than there is of b and v: they are kept whole
+    assert got.t.sum() == pytest.approx(0.95, rel=1e-4)
+    assert got.groupby("source").t.sum()["b"] == pytest.approx(0.2, rel=1e-4)
+    assert got.groupby("lang").t.sum()["v"] == pytest.approx(2 / 7, rel=1e-4)
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, None, None, None), (2, "", "s", "en"), (3, "a b  c\n", "s", "en"), (3, "a b  c\n", "s", "en"), (None, "x y", "", "de"), (4, "z " * 50, "s", "fr")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, source string, lang string, weight string")

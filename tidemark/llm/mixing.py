@@ -3,8 +3,11 @@
 Method. Documents are counted into cells (source, language, topic) of tokens. The cells' weights are
 raked: in turn each marginal's weighted token shares are scaled to its targets, until no scale factor
 differs from 1 by more than `tolerance` or `rounds` are done. A document's weight is its cell's; with
-`budget`, the share of all tokens wanted, its calibrated probability is min(1, budget * weight), and
-it is kept if a hash of doc_id, uniform in [0, 1), is below that.
+`budget`, the share of all tokens wanted, its probability is budget * weight. Where that is above 1 for
+some cells, probabilities are calibrated themselves: each is min(1, a product of factors by marginal
+value), and the factors are scaled until expected tokens meet the marginals and the budget. A value
+whose target is more than all its tokens is kept whole, logged, and the others share the rest in
+proportion. A document is kept if a hash of doc_id, uniform in [0, 1), is below its probability.
 
 Native: DataFrame and SQL functions only. Two passes over the documents; the first is an aggregation
 with map-side combining, so a hot source costs nothing, the second a join with the cells, of which AQE
@@ -19,6 +22,7 @@ proportion; repeated rows are drawn alike, as the hash is of doc_id; a null doc_
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +32,7 @@ from .common import materialize
 
 MARGINS = ("source", "lang", "topic")
 NONE = "<none>"
+log = logging.getLogger(__name__)
 
 
 def token_count(text: Column) -> Column:
@@ -58,23 +63,9 @@ def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     return shares.select(margin, (F.pow("n", F.lit(alpha)) / F.lit(total)).alias("target"))
 
 
-def rake(
-    cells: DataFrame,
-    targets: Mapping[str, DataFrame],
-    rounds: int = 12,
-    tolerance: float = 1e-9,
-) -> DataFrame:
-    """cells (source, lang, topic, tokens) with `weight`: weighted shares meet the targets.
-
-    targets: for each margin a frame (margin, target). Weights are scaled so that the mean weight of a
-    token is 1.
-    """
+def target_shares(cells: DataFrame, targets: Mapping[str, DataFrame], total: float) -> dict[str, DataFrame]:
+    """By margin a frame (margin, share, natural) of present values; those with a target and the others make 1."""
     spark = cells.sparkSession
-    now = cells.withColumn("weight", F.lit(1.0))
-    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
-    if not total:
-        return now
-    # targets of present values, scaled so that they and the untargeted values' shares make 1
     fixed = {}
     for margin in MARGINS:
         present = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(total)).alias("natural")).where("natural > 0")
@@ -88,8 +79,29 @@ def rake(
             F.when(F.col("target").isNull(), F.col("natural"))
             .otherwise(F.col("target") / F.lit(sums["targeted"]) * F.lit(1 - sums["rest"]))
             .alias("share"),
+            "natural",
         )
         fixed[margin] = materialize(spark, scaled, f"target-{margin}")
+    return fixed
+
+
+def rake(
+    cells: DataFrame,
+    targets: Mapping[str, DataFrame],
+    rounds: int = 12,
+    tolerance: float = 1e-9,
+) -> DataFrame:
+    """cells (source, lang, topic, tokens) with `weight`: weighted shares meet the targets.
+
+    targets: for each margin a frame (margin, target). Weights are scaled so that the mean weight of a
+    token is 1.
+    """
+    spark = cells.sparkSession
+    now = cells.withColumn("weight", F.lit(1.0))
+    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
+    if not total:
+        return now
+    fixed = target_shares(cells, targets, total)
     for _ in range(rounds):
         off = F.lit(0.0)
         for margin in MARGINS:
@@ -109,6 +121,70 @@ def rake(
     return now
 
 
+def within_tokens(shares: DataFrame, margin: str, budget: float) -> DataFrame:
+    """(margin, want): shares of all tokens that add up to budget, in proportion to share, none above natural."""
+    scale = budget
+    while True:
+        over = F.col("share") * F.lit(scale) > F.col("natural")
+        sums = shares.agg(
+            F.coalesce(F.sum(F.when(over, F.col("natural"))), F.lit(0.0)).alias("whole"),
+            F.coalesce(F.sum(F.when(~over, F.col("share"))), F.lit(0.0)).alias("rest"),
+        ).first()
+        above = (budget - sums["whole"]) / sums["rest"] if sums["rest"] > 0 else scale
+        if above <= scale * (1 + 1e-12):
+            break
+        scale = above
+    short = F.col("share") * F.lit(budget) > F.col("natural") * (1 + 1e-9)
+    for r in shares.where(short).orderBy(F.desc(F.col("share") / F.col("natural"))).limit(5).collect():
+        log.warning("mixing: %s %r has %.4f of all tokens, its target at the budget is %.4f", margin, r[margin], r["natural"], r["share"] * budget)
+    return shares.select(margin, F.least("natural", F.col("share") * F.lit(scale)).alias("want"))
+
+
+def calibrate(
+    cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 60, tolerance: float = 1e-6
+) -> DataFrame:
+    """cells (source, lang, topic, tokens, weight) with `probability`, budget * weight if none is above 1.
+
+    A round solves each marginal for its factors by a step of Newton's method: expected tokens are
+    concave in a factor, so a step never passes the solution from below.
+    """
+    spark = cells.sparkSession
+    now = cells.withColumn("raw", F.lit(float(budget)) * F.col("weight"))
+    p = F.least(F.lit(1.0), F.col("raw"))
+    total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
+    if not total or now.where("raw > 1").isEmpty():
+        return now.withColumn("probability", p).drop("raw")
+    share = min(1.0, float(budget))
+    wanted = {
+        m: materialize(spark, within_tokens(shares, m, share), f"want-{m}") for m, shares in target_shares(cells, targets, total).items()
+    }
+    worst = 0.0
+    for _ in range(rounds):
+        off = F.lit(0.0)
+        for margin in MARGINS:
+            sums = now.groupBy(margin).agg(
+                F.sum(F.col("tokens") * p).alias("have"),
+                F.sum(F.when(F.col("raw") < 1, F.col("tokens") * F.col("raw")).otherwise(0.0)).alias("free"),
+            )
+            want, have, free = F.col("want") * F.lit(total), F.col("have"), F.col("free")
+            step = F.when(free > 0, 1 + (want - have) / free)
+            factors = sums.join(wanted[margin], margin, "left").select(
+                margin,
+                F.coalesce(F.when(step > 0, step), F.when((have > want) & (have > 0), want / have), F.lit(1.0)).alias("factor"),
+                F.coalesce(F.abs(want - have) / F.lit(share * total), F.lit(0.0)).alias(f"off_{margin}"),
+            )
+            now = now.join(factors, margin, "left").withColumn("raw", F.col("raw") * F.col("factor")).drop("factor")
+            off = F.greatest(off, F.col(f"off_{margin}"))
+        now = materialize(spark, now.withColumn("off", off).select(*cells.columns, "raw", "off"), "calibrate")
+        worst = now.agg(F.max("off").alias("m")).first()["m"]
+        now = now.drop("off")
+        if worst <= tolerance:
+            break
+    else:
+        log.warning("mixing: a marginal is still off by %.6f of the budget after %d rounds", worst, rounds)
+    return now.withColumn("probability", p).drop("raw")
+
+
 def mix(
     docs: DataFrame,
     budget: float = 0.5,
@@ -137,11 +213,10 @@ def mix(
     counted = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialize(spark, counted, "cells")
     wanted = {m: (targets or {}).get(m) or tempered(cells, m, alphas[m]) for m in MARGINS}
-    weights = materialize(spark, rake(cells, wanted, rounds).select(*MARGINS, "weight"), "weights")
-    p = F.least(F.lit(1.0), F.lit(budget) * F.col("weight"))
+    raked = materialize(spark, rake(cells, wanted, rounds), "raked")
+    weights = materialize(spark, calibrate(raked, wanted, budget).select(*MARGINS, "weight", "probability"), "weights")
     return (
         rows.join(weights, list(MARGINS), "left")
-        .withColumn("probability", p)
         .withColumn("selected", F.coalesce(uniform(F.col("doc_id")) < F.col("probability"), F.lit(False)))
         .select(
             "doc_id", "n_tokens", *MARGINS, "weight", "probability", "selected", *(F.col(f"kept_{c}") for c in keep)
