@@ -102,5 +102,24 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert got == {i: int((s[i] >= 0.98).sum()) - 1 for i in range(90)}
 
 
+def test_pairs_in_a_crowd_are_found(spark):
+    """Isolated pairs at 0.982 among vectors of one direction, as the passes for evenly spread ones miss many."""
+    rng = np.random.default_rng(12)
+    n, wide = 6000, 64
+    x = rng.normal(size=(n, wide))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += 5.0  # cosines of about 0.96
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 200, 2):
+        side = rng.normal(size=wide)
+        side -= side @ x[i] * x[i]
+        x[i + 1] = 0.9835 * x[i] + np.sqrt(1 - 0.9835**2) * side / np.linalg.norm(side)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicate_vectors(frame).collect()}
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert (want[:200] > 0).all()
+    assert [got[i] for i in range(n)] == want.tolist()
+
+
 def test_empty(spark):
     assert vector_dedup.near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
