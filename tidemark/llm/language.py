@@ -12,7 +12,8 @@ hash of doc_id that is small enough, so the model's size is bounded whatever the
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang is not learned from.
 Without any labelled document everything is `und`. Ties go to the language first in alphabetical
 order. A text whose letters are all of scripts that were not learned gets the most frequent language
-with score 0. Repeated rows are labelled each for itself; extra columns are ignored.
+with score 0. Repeated rows are labelled each for itself; extra columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -183,12 +184,13 @@ class Labeller:
 
     def label(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi over each text's words: all texts of the list step together, the longest first."""
+        kind = np.min_scalar_type(self.table.shape[1] - 1)  # a byte up to 256 languages
         sizes = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
         n = int((sizes > 0).sum())
         if not n:
-            return [np.zeros(0, np.uint8) for _ in texts]
+            return [np.zeros(0, kind) for _ in texts]
         flat = np.concatenate([texts[k] for k in order[:n]])
         starts = np.concatenate([[0], np.cumsum(sizes[: n - 1])]).astype(np.int64)
         longest = int(sizes[0])
@@ -197,19 +199,19 @@ class Labeller:
         table, penalty = self.table, np.float32(self.penalty)
         value = table[flat[starts]]
         back: list[np.ndarray] = []
-        ends = np.zeros(n, np.uint8)
+        ends = np.zeros(n, kind)
         for t in range(1, longest):
             m = int(alive[t])
             if m < len(value):
                 ends[m : len(value)] = value[m:].argmax(1)
                 value = value[:m]
-            arg = value.argmax(1).astype(np.uint8)
+            arg = value.argmax(1).astype(kind)
             switch = value[np.arange(m), arg] - penalty
             stay = value >= switch[:, None]
-            back.append(np.where(stay, np.arange(value.shape[1], dtype=np.uint8), arg[:, None]))
+            back.append(np.where(stay, np.arange(value.shape[1], dtype=kind), arg[:, None]))
             value = np.where(stay, value, switch[:, None]) + table[flat[starts[:m] + t]]
         ends[: len(value)] = value.argmax(1)
-        labels = np.zeros(len(flat), np.uint8)
+        labels = np.zeros(len(flat), kind)
         now = ends[: int(alive[longest - 1])]
         for t in range(longest - 1, -1, -1):
             m = int(alive[t])
@@ -218,7 +220,7 @@ class Labeller:
             labels[starts[:m] + t] = now
             if t:
                 now = back[t - 1][np.arange(m), now]
-        out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
+        out: list[np.ndarray] = [np.zeros(0, kind)] * len(texts)
         for k in range(n):
             out[order[k]] = labels[starts[k] : starts[k] + sizes[k]]
         return out
