@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -147,6 +148,21 @@ def test_lexer_finds_literals_of_sensitive_names():
     assert values('color = "Zx81!kkQ2ppW"') == []
 
 
+def test_lexing_grows_with_the_text_alone():
+    doubled = "a = 'Zx81kkQ2'\n" + "a = a + a\n" * 60 + "auth_key = a\n"
+    assert values(doubled) == ["Zx81kkQ2"]
+    began = time.process_time()
+    assert values("token " + "a-" * 500_000) == values("token" + ":b" * 300_000) == []
+    assert values("token=x\nauth_key = 'q9Zr77Lm'\n" + "auth_key = auth_key + 'q9Zr77Lm'\n" * 20_000)[:1] == ["q9Zr77Lm"]
+    assert time.process_time() - began < 60
+
+
+def test_an_unquoted_word_ends_before_a_sensitive_name():
+    assert values("url=http://x?auth_key=zq81kk2ppWv9Lm&user=bob") == ["zq81kk2ppWv9Lm&user=bob"]
+    assert values("auth_key=zq81kk2ppWv9Lm,bearer=" + "x1Y" * 342) == ["zq81kk2ppWv9Lm"]  # the second is too long for a word
+    assert values("auth_key=user1234567890:pw") == ["user1234567890:pw"]
+
+
 def test_redaction_keeps_names_and_columns(spark):
     rows = [(1, 'a password = "hunter22x" b', 99), (2, None, None), (3, "", 0), (4, "plain", 5)]
     got = secrets.redact_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")).collect()
@@ -159,6 +175,10 @@ def test_op2_on_fixture(docs):
     assert [s.kind for s in got[10].spans] == ["access"]
     assert [(s.start, s.end) for s in got[11].spans] == [(0, 24)]
     assert got[0].spans == got[1].spans == []
+    assert secrets.find_secrets(docs.where("false")).count() == secrets.redact_secrets(docs.where("false")).count() == 0
+    clash = docs.withColumn("spans", docs.text).withColumn("n_chars", docs.doc_id)
+    assert secrets.find_secrets(clash).columns == ["doc_id", "spans"]
+    assert secrets.redact_secrets(clash).columns == clash.columns and secrets.redact_secrets(clash).count() == len(TEXTS) + 2
 
 
 # --- licences
@@ -200,7 +220,22 @@ def test_tag_and_notices():
     assert got.expressions == [("MIT OR Apache-2.0", True)]
 
 
+def test_tags_are_found_by_words_and_only_as_written():
+    tag = "é // SPDX-License-Identifier: {}\r\n"
+    names = ["MIT", "isc AND zlib", "GPL-2.0-only WITH Classpath-exception-2.0", "(MIT"]
+    got = licenses.scan("".join(tag.format(n) + "word " * n_words for n_words, n in enumerate(names)).encode())
+    # words: é spdx license identifier, then the expression's, then the filling
+    assert [(w, x) for w, x, _ in got.hits] == [(1, "mit"), (6, "isc"), (6, "zlib"), (14, "gpl-2")]
+    assert got.expressions == [("MIT", True), ("isc AND zlib", True), ("GPL-2.0-only WITH Classpath-exception-2.0", True)]
+    assert licenses.scan(b"the spdx license identifier: MIT, license expression MIT").hits == []
+    assert licenses.scan(b"XSPDX-License-Identifier: MIT").hits == []
+    many = licenses.scan(b"License-Expression: MIT\n" * 40_000)
+    assert len(many.hits) == 40_000 and many.n_words == 120_000
+
+
 def test_op5_on_fixture(docs):
+    clash = docs.withColumn("labels", docs.text).withColumn("hits", docs.text)
+    assert licenses.scan_licenses(clash).count() == len(TEXTS) + 2 and licenses.scan_licenses(clash.where("false")).count() == 0
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[0].n_words, got[0].first_word, got[0].labels, got[0].score) == (0, None, "", 0.0)
     assert (got[12].n_base, got[12].first_word, got[12].base_labels) == (1, 1, "mit")
@@ -235,6 +270,47 @@ def test_joint_viterbi_is_the_plain_one():
         assert list(got) == (slow_viterbi(labeller.table, ids, 2.5) if len(ids) else [])
 
 
+def test_more_languages_than_a_byte_holds():
+    model = language.Model({f"l{k:03}": {f"word{chr(97 + k // 26)}{chr(97 + k % 26)}": 9} for k in range(300)})
+    labeller = language.Labeller(model, 6.0)
+    words = [labeller.words(f"word{chr(97 + k // 26)}{chr(97 + k % 26)} " * 3) for k in range(300)]
+    assert [set(x.tolist()) for x in labeller.label(words)] == [{k} for k in range(300)]
+
+
+def brute_language(model, text, penalty):
+    """Language and share of words by trying every labelling's best path word by word, in plain Python."""
+    words = [w for w in re.findall(r"[^\W\d_]+", text) if any(map(str.isalpha, w))]
+    rows = [(w, model.scores(w)) for w in words]
+    none = (0.0,) * len(model.langs)
+    best = {k: (0.0, ()) for k in range(len(model.langs))}
+    for n, (_, scores) in enumerate(rows):
+        scores = scores or none
+        new = {}
+        for k in best:
+            # staying is preferred to switching at equal value, the first language among equals
+            stay, (far, way) = best[k], max(best.values(), key=lambda x: x[0])
+            value, path = stay if not n or stay[0] >= far - penalty else (far - penalty, way)
+            new[k] = value + scores[k], (*path, k)
+        best = new
+    path = max(best.values(), key=lambda x: x[0])[1]
+    counted = [k for k, (_, s) in zip(path, rows, strict=True) if s]
+    top = max(range(len(model.langs)), key=lambda k: (counted.count(k), -k))
+    return model.langs[top], counted.count(top) / len(counted)
+
+
+def test_prediction_is_that_of_plain_viterbi(spark):
+    train = [(i, "the house and the tree with them near the river", "en") for i in range(5)]
+    train += [(9 + i, "der baum und das haus mit ihnen an dem fluss", "de") for i in range(5)] + [(40, "la casa y el árbol con ellos", "es")]
+    model = language.learn(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    rng = random.Random(4)
+    vocabulary = " ".join(t for _, t, _ in train).split() + ["xx", "Baum", "CASA", "9", "дом"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 40))) + " the" for _ in range(60)]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in got:
+        lang, score = brute_language(model, texts[r.doc_id], 6.0)
+        assert (r.lang_pred, round(r.score, 9)) == (lang, round(score, 9)), texts[r.doc_id]
+
+
 def test_language_accuracy_and_spans(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op1_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")

@@ -2,14 +2,16 @@
 
 Method. A text's A-Z are lowered and everything in ASCII that is no letter or digit separates words;
 the words joined by single blanks go once through an automaton that holds every notice phrase and
-identifier tag, each between blanks, so that a hit is a run of whole words. Where a tag
-(`SPDX-License-Identifier:`, `License-Expression:`) stands in the original text, the expression after
-it is parsed by the shunting-yard algorithm (WITH binds tightest, then AND, then OR) and evaluated:
-its identifiers become labels, and it is acceptable if some choice among its ORs needs only
-permissive licences.
-
-A null text is empty. Rows are scanned each for itself in one pass without a shuffle; the phrase list
-is fixed, so nothing that is held grows with the data.
+identifier tag (`SPDX-License-Identifier`, `License-Expression`), each between blanks, so that a hit is
+a run of whole words. A tag's hit is followed up in the original text: if it is written as a tag, the
+expression after its colon is parsed by the shunting-yard algorithm (WITH binds tightest, then AND, then
+OR) and evaluated: its identifiers become labels, and it is acceptable if some choice among its ORs
+needs only permissive licences.
+
+A null text is empty and has no label; a text may be of any length, and places are found in one pass.
+Rows are scanned each for itself, repeated or not, in one pass without a shuffle; an empty table gives an
+empty one, other columns are ignored. The phrase list is fixed, so nothing that is held grows with the
+data.
 """
 
 from __future__ import annotations
@@ -68,9 +70,14 @@ IDENTIFIERS = {
 }
 #: Exceptions that make a copyleft licence linkable.
 EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "autoconf-exception-3.0"}
-TAG = re.compile(r"(?i)(?:spdx-license-identifier|license-expression)\s*:\s*([^\r\n*#]+)")
+#: words of a tag -> how it is written; the expression goes on to the line's end
+TAGS = {
+    "spdx license identifier": re.compile(rb"(?i)spdx-license-identifier\s*:\s*([^\r\n*#]+)"),
+    "license expression": re.compile(rb"(?i)license-expression\s*:\s*([^\r\n*#]+)"),
+}
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
-TAG_WORDS = (b"spdx license identifier", b"license expression")
+#: A word of the original text, in bytes.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -147,7 +154,7 @@ def automaton():
         import ahocorasick
 
         made = ahocorasick.Automaton()
-        for phrase in {*BASE, *NOTICES}:
+        for phrase in {*BASE, *NOTICES, *TAGS}:
             made.add_word(f" {phrase} ", (phrase, len(phrase) + 1))
         made.make_automaton()
         _AUTOMATON.append(made)
@@ -167,7 +174,7 @@ def scan(raw: bytes | None) -> Found:
         return Found(0, [], [])
     joined = b" ".join((b"", *words, b""))
     text = joined.decode("latin-1")
-    hits, last, count = [], 0, -1
+    hits, tagged, last, count = [], [], 0, -1
     for end, (phrase, back) in automaton().iter(text):
         start = end - back  # of the blank before the phrase
         # words before: blanks up to and with this one, less one; hits come by end, so starts may step back
@@ -181,16 +188,23 @@ def scan(raw: bytes | None) -> Found:
             hits.append((first, BASE[phrase], True))
         if phrase in NOTICES:
             hits.append((first, NOTICES[phrase], False))
+        if phrase in TAGS:
+            tagged.append((first, TAGS[phrase]))
     expressions = []
-    if any(t in joined for t in TAG_WORDS):
-        for m in TAG.finditer(raw.decode()):
+    if tagged:
+        places = {w for w, _ in tagged}
+        begins = {n: m.start() for n, m in enumerate(WORD.finditer(raw)) if n in places}
+        for first, written in sorted(tagged, key=lambda t: t[0]):
+            m = written.match(raw, begins[first])
+            if m is None:  # the words, but no tag
+                continue
+            expression = m[1].decode("utf-8", "replace")
             try:
-                verdict = evaluate(parse_expression(m[1]))
+                verdict = evaluate(parse_expression(expression))
             except ValueError:
                 continue
-            at = len(raw.decode()[: m.start()].encode().translate(FOLD).split())
-            hits += [(at, label, False) for label in sorted(verdict.labels)]
-            expressions.append((m[1].strip(), verdict.permissive))
+            hits += [(first, label, False) for label in sorted(verdict.labels)]
+            expressions.append((expression.strip(), verdict.permissive))
     return Found(len(words), sorted(hits), expressions)
 
 
