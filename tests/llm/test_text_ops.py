@@ -93,6 +93,31 @@ def test_op9(docs, encoding):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_decoding_is_the_round_trip(spark, docs):
+    encoded = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN)
+    got = {r.doc_id: r.text for r in bpe.decode_documents(encoded, PATH).collect() if r.doc_id is not None}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    token = {i: t for t, i in bpe.load_ranks(PATH).items()}
+    cut = next(i for i, t in token.items() if t == b"\xc3")
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [cut])], "doc_id bigint, token_ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_documents(odd, PATH).collect()} == {1: None, 2: "", 3: "\ufffd"}
+    assert bpe.encode_documents(docs.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_digest_of_ids_in_chunks_that_cut_characters(encoder, monkeypatch):
+    text = "".join(chr(0x10300 + k % 26) + chr(0x4E00 + k) for k in range(300))
+    ids = encoder.encode(text)
+    for size in (1, 2, 3, 7, 100_000):
+        monkeypatch.setattr(bpe, "CHUNK", size)
+        assert bpe.decoded_digest(ids, encoder.machine.token) == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_vocabulary_too_large_for_a_guess_is_refused(monkeypatch):
+    monkeypatch.setattr(bpe.Transducer, "NONE", 1000)
+    with pytest.raises(ValueError, match="vocabulary"):
+        bpe.Transducer({bytes([a, b]): 256 * a + b for a in range(3) for b in range(256)})
+
+
 # --- secrets
 
 

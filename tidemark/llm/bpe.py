@@ -10,9 +10,9 @@ guesses share it, which takes a lookahead of the longest token at most. Whether
 together is decided by undoing their merges, once for each pair met.
 
 Decoding is a table look-up followed by an incremental UTF-8 state machine, so ids can arrive in
-chunks that cut a character.
+chunks that cut a character; encode_documents digests what this decoder makes of its ids.
 
-Nulls and empty texts encode to no token. The vocabulary is a parameter (a file path); its size, not
+Nulls and empty texts encode to no token; an empty table gives an empty one. The vocabulary is a parameter (a file path); its size, not
 the data's, bounds what is broadcast.
 """
 
@@ -32,10 +32,14 @@ from .common import kept, map_batches, rows_of
 MEMO, STATES = 120_000, 200_000
 
 
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    """Content of a .tiktoken file: base64 token and rank on each line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """A .tiktoken file: base64 token and rank on each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return ranks_of(f.read())
 
 
 class Transducer:
@@ -46,9 +50,11 @@ class Transducer:
     far ends in.
     """
 
-    NONE = (1 << 20) - 1  # no token to the left
+    NONE = (1 << 24) - 1  # no token to the left
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(sum(map(len, ranks)), max(ranks.values(), default=0)) >= self.NONE:  # of nodes and ranks, 24 bits each
+            raise ValueError(f"a vocabulary of {self.NONE} bytes or ranks and more isn't supported")
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -74,7 +80,7 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        start = (self.NONE << 20,)
+        start = (self.NONE << 24,)
         self.ids = {start: 0}
         self.states = [start]
         #: token in which the encoding ends, by state
@@ -117,7 +123,7 @@ class Transducer:
         The merges are undone from the border outwards, the latest first: the border holds unless at
         some moment the two parts that touch it would have merged before the next merge undone.
         """
-        key = a << 20 | b
+        key = a << 24 | b
         found = self.pairs.get(key)
         if found is None:
             found = self.pairs[key] = self._fits(a, b)
@@ -147,9 +153,9 @@ class Transducer:
             to = next_of.get((guess & none) << 8 | byte)
             if to is None:
                 continue
-            left = guess >> 20
+            left = guess >> 24
             if inner[to]:
-                new.append(left << 20 | to)
+                new.append(left << 24 | to)
             if last < 0:
                 t = ends[to]
                 if t >= 0:
@@ -158,12 +164,12 @@ class Transducer:
                     elif left == none:
                         last = t
                     else:
-                        fits = pairs.get(left << 20 | t)
+                        fits = pairs.get(left << 24 | t)
                         if self.fits(left, t) if fits is None else fits:
                             last = t
         if last < 0:
             raise ValueError("a byte without a token of its own")
-        new.append(last << 20)
+        new.append(last << 24)
         key = tuple(new)
         to = self.ids.get(key)
         if to is None:
@@ -252,20 +258,16 @@ class Encoder:
         memo = self.memo
         pieces = self.split(text)
         found = list(map(memo.get, pieces))
-        if None in found:
-            encode, old, k = self.machine.encode, self.old, -1
-            try:
-                while True:
-                    k = found.index(None, k + 1)
-                    piece = pieces[k]
-                    ids = memo.get(piece)
-                    if ids is None:
-                        ids = old.get(piece) or encode(piece.encode())
-                        if len(piece) <= 64:  # a long piece hardly comes again
-                            memo[piece] = ids
-                    found[k] = ids
-            except ValueError:  # no further piece is missing
-                pass
+        if not all(found):  # a piece's ids are never none
+            encode, old = self.machine.encode, self.old
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                piece = pieces[k]
+                ids = memo.get(piece)
+                if ids is None:
+                    ids = old.get(piece) or encode(piece.encode())
+                    if len(piece) <= 64:  # a long piece hardly comes again
+                        memo[piece] = ids
+                found[k] = ids
             if len(memo) > MEMO:
                 self.old, self.memo = memo, {}
         return list(chain.from_iterable(found))
@@ -331,13 +333,40 @@ def decode_stream(chunks: Iterable[Iterable[int]], token: dict[int, bytes]) -> I
     yield machine.close()
 
 
+#: Ids that are decoded at once.
+CHUNK = 8192
+
+
+def decoded_digest(ids: list[int], token: dict[int, bytes]) -> str:
+    """SHA-256 of the text that ids stand for, decoded chunk by chunk."""
+    digest = hashlib.sha256()
+    for part in decode_stream((ids[at : at + CHUNK] for at in range(0, len(ids), CHUNK)), token):
+        digest.update(part.encode())
+    return digest.hexdigest()
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id and text of encoded (doc_id, token_ids); a null list is a null text, bytes that are no UTF-8 become U+FFFD.
+
+    One pass without a shuffle; an id that the vocabulary lacks is an error.
+    """
+    with open(vocabulary, "rb") as f:
+        raw = encoded.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        token = kept(("tokens", hashlib.sha256(raw.value).digest()), lambda: {i: t for t, i in ranks_of(raw.value).items()})
+        chunks = lambda ids: (ids[at : at + CHUNK] for at in range(0, len(ids), CHUNK))
+        texts = [None if ids is None else "".join(decode_stream(chunks(ids), token)) for ids in rows_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    narrow = encoded.selectExpr("cast(doc_id as bigint) doc_id", "cast(token_ids as array<int>) token_ids")
+    return map_batches(narrow, run, "doc_id bigint, text string")
+
+
 def encoder_of(raw: bytes, pattern: str) -> Encoder:
     """Encoder for a rank file's content; kept by a worker."""
 
-    def make() -> Encoder:
-        return Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
-
-    return kept(("encoder", hashlib.sha256(raw).digest(), pattern), make)
+    return kept(("encoder", hashlib.sha256(raw).digest(), pattern), lambda: Encoder(ranks_of(raw), pattern))
 
 
 ENCODED = "doc_id bigint, token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -358,7 +387,7 @@ def encode_documents(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = encoder_of(raw.value, pattern)
-        decimal, token = encoder.decimal.__getitem__, encoder.machine.token.__getitem__
+        decimal, token = encoder.decimal.__getitem__, encoder.machine.token
         lists_of, counts, ids_sha, text_sha = [], [], [], []
         for text in rows_of(batch.column(1)):
             ids = encoder.encode(text)
@@ -367,7 +396,7 @@ def encode_documents(
                 lists_of.append(pa.array(ids, pa.int32()))
             if digests:
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
+                text_sha.append(decoded_digest(ids, token))
         none = pa.nulls(batch.num_rows, pa.string())
         if keep_ids:
             offsets = [0]
