@@ -38,6 +38,30 @@ def test_urls(spark):
     assert len(none) == len(URLS) and {r.verdict for r in none} == {"allow"}
 
 
+def test_urls_with_columns_of_any_name(spark):
+    names = ["key", "h", "_row", "row", "listed_verdict", "possible", "best", "n_host", "c0", "host", "rule", "verdict", "a.b"]
+    pages = spark.createDataFrame([(i, u, *([f"own{i}"] * len(names))) for i, u in enumerate(URLS)], ["page_id", "url", *names])
+    out = urls.filter_urls(pages, spark.createDataFrame(queries.RULES, "host string, path string, verdict string"))
+    rows = [r.asDict() for r in out.collect()]
+    assert out.columns == ["page_id", "url", *(n for n in names if n not in ("host", "rule", "verdict")), "host", "path", "rule", "verdict"]
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_url(URLS[r["page_id"]])
+        assert {r[n] for n in names if n not in ("host", "rule", "verdict")} == {f"own{r['page_id']}"}
+
+
+def test_a_list_of_many_lengths_and_entries_that_fit_nothing(spark):
+    listed = [("a.com", "/" + "x" * n, "block") for n in range(400)] + [("A.com", "/xx", "allow"), ("a.co", "m/xxx", "block"), (None, "/", "block")]
+    listed += [("b.com", "", "block"), ("c.com/", "d", "block"), ("d.com", None, "block")]
+    pages = [(0, "http://a.com/" + "x" * 350 + "y"), (1, "http://a.com/xx"), (2, "http://w.b.com"), (3, "http://a.com"), (4, "http://c.com/d"), (5, "http://d.com/")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    out = urls.filter_urls(frame, spark.createDataFrame(listed, "host string, path string, verdict string"))
+    got = {r.page_id: (r.rule, r.verdict) for r in out.collect()}
+    assert got == {
+        0: ("a.com/" + "x" * 350, "block"), 1: ("a.com/xx", "block"), 2: ("b.com", "block"),
+        3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"),
+    }
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     made = urls.build_filter(keys, max_blocks=128)

@@ -1,22 +1,28 @@
-"""URL filters: a blocked Bloom filter passes possible hits to an exact hash join.
+"""URL filters: blocked Bloom filters pass possible hits to an exact hash join.
 
 Method. A listed entry is a host and a path prefix. A URL can only be met by an entry whose key is one
-of its host's suffixes (whole labels) joined with a prefix of its path, and only of the depths and
-lengths that the list has; these few keys are tested in a blocked Bloom filter, all of whose bits for a
-key lie in one block of 8 words of 64 bits. Keys that pass go to an equi-join with the list, which
-removes false positives; the longest entry that fits wins.
+of its host's suffixes (whole labels) joined with a prefix of its path. Suffixes are tested in a blocked
+Bloom filter of listed hosts; for those that pass, prefixes of the lengths that the list has are tested
+in one of listed keys. All bits of a key lie in one block of 8 words of 64 bits. Keys that pass go to an
+equi-join with the list, which removes false positives; the longest entry that fits wins. Rows without a
+possible key need no join and aren't shuffled; their branch reads pages' columns a second time instead.
 
-The filter is built by the executors (bit_or per block) and its size is bounded by `max_blocks`: a
+Filters are built by the executors (bit_or per block) and their size is bounded by `max_blocks`: a
 longer list only raises the share of false positives, which the join then removes. The list itself is
 broadcast only if Spark finds it below the session's size limit, else the join shuffles it.
 
 Nulls: a URL that is null or has no `://` has an empty host and path and meets no entry. Each row gets a
-row of its own, repeated or not. Entries with equal keys must agree; block wins if they don't.
+row of its own, repeated or not; pages' columns may have any names. Entries with equal keys must agree;
+block wins if they don't. Entries with a null host or path, or whose path isn't empty and doesn't begin
+with a slash, fit no URL. An empty list leaves all URLs to the default; no pages give no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,79 +94,80 @@ def probe(made: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((made[rows[:, None], words] >> bits) & np.uint64(1)).astype(bool).all(1)
 
 
-def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """Keys of a URL that the list may have: for each (labels, path length) of the list, where it reaches."""
-    labels = F.size(F.split(host, r"\."))
-    keys = [
-        F.when(
-            (host != "") & (labels >= depth) & (F.length(path) >= length),
-            F.concat(F.substring_index(host, ".", -depth), F.substring(path, 1, length)),
-        )
-        for depth, length in shapes
-    ]
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+def hashes_of(keys: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each string."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
+
+
+def passing(made: np.ndarray, keys: list[str]) -> list[str]:
+    """The keys that may be listed."""
+    return [k for k, ok in zip(keys, probe(made, hashes_of(keys)), strict=True) if ok] if keys else []
+
+
+def suffixes(host: str) -> list[str]:
+    """The host and what is left of it without its first labels; none of an empty host."""
+    labels = host.split(".") if host else []
+    return [".".join(labels[k:]) for k in range(len(labels))]
+
+
+def possible_keys(hosts: pd.Series, paths: pd.Series, listed_hosts: np.ndarray, listed_keys: np.ndarray, lengths: list[int]) -> pd.Series:
+    """For each URL the keys, host suffix and path prefix, that may be listed. lengths: of listed paths, ascending."""
+    made = {h: suffixes(h) for h in hosts.unique()}
+    may = set(passing(listed_hosts, sorted({x for found in made.values() for x in found})))
+    made = {h: [x for x in found if x in may] for h, found in made.items()}
+    flat, at = [], []
+    for k, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        if made[h]:
+            for n in lengths[: bisect_right(lengths, len(p))]:
+                flat += [x + p[:n] for x in made[h]]
+            at += [k] * (len(flat) - len(at))
+    out: list[list[str]] = [[] for _ in range(len(hosts))]
+    if flat:
+        for k in np.flatnonzero(probe(listed_keys, hashes_of(flat))):
+            out[at[k]].append(flat[k])
+    return pd.Series(out)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", max_blocks: int = 1 << 17) -> DataFrame:
     """pages with host, path, rule (the entry that decides, or null) and verdict (allow or block).
 
     pages has url; listed has host, path, verdict. Columns of pages named like a result are replaced.
-    The number of distinct (labels, path length) shapes of the list comes to the driver: small for a
-    list of any length, as hosts have few labels and prefixes few lengths.
+    The distinct lengths of listed paths come to the driver: no more than the longest path has characters.
     """
     spark = pages.sparkSession
+    host = lower_ascii(F.col("host"))
     entries = (
-        listed.where("host is not null and path is not null")
-        .select(F.concat(lower_ascii(F.col("host")), "path").alias("key"), lower_ascii(F.col("host")).alias("h"), "path", "verdict")
-        .groupBy("key", "h", "path")
-        .agg(F.max("verdict").alias("listed_verdict"))  # block after allow
+        listed.where("path = '' or path like '/%'")
+        .where("host is not null and not host rlike '[/?#]'")
+        .select(F.concat(host, "path").alias("key"), host.alias("host"), F.length("path").alias("n"), "verdict")
+        .groupBy("key", "host", "n")
+        .agg(F.max("verdict").alias("verdict"))  # block after allow
     )
     entries = materialize(spark, entries, "urls")
-    shapes = [
-        (r[0], r[1])
-        for r in entries.select(F.size(F.split("h", r"\.")), F.length("path")).distinct().collect()
-    ]
-    made = build_filter(entries.select("key"), max_blocks)
-    bloom = spark.sparkContext.broadcast(made)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    lengths = sorted(r["n"] for r in entries.select("n").distinct().collect())
+    hosts = build_filter(entries.select(F.col("host").alias("key")).distinct(), max_blocks)
+    filters = spark.sparkContext.broadcast((hosts, build_filter(entries.select("key"), max_blocks)))
+
+    @F.pandas_udf("array<string>")
+    def possible(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return possible_keys(hosts, paths, *filters.value, lengths)
+
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = [f"c{k}" for k in range(len(names))]  # pages' columns under names that nothing else here has
     host, path = canonical(F.col("url"))
-    base = pages.select(*kept, host.alias("host"), path.alias("path"))
-    keyed = base.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), sorted(shapes)))
-    keyed = keyed.withColumn("_hashes", F.transform("_keys", _hash))
-
-    @F.pandas_udf("array<boolean>")
-    def passes(hashes):
-        sizes = hashes.map(len).to_numpy()
-        flat = np.concatenate(hashes.to_list()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-        ok = probe(bloom.value, flat) if len(flat) else np.zeros(0, bool)
-        import pandas as pd
-
-        return pd.Series(np.split(ok, np.cumsum(sizes)[:-1]))
-
-    marked = keyed.withColumn("_ok", passes("_hashes")).withColumn("_row", F.monotonically_increasing_id())
-    possible = F.expr("transform(filter(arrays_zip(_keys, _ok), x -> x._ok), x -> x._keys)")
-    marked = marked.select(*kept, "host", "path", "_row", possible.alias("_possible"))
-    none = marked.where(F.size("_possible") == 0).select(
-        *kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
-    )
+    marked = pages.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)), host.alias("host"), path.alias("path"))
+    marked = marked.withColumn("possible", possible("host", "path"))
+    none = marked.where(F.size("possible") == 0).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     # The rows that may be hit: one group a row, so that a host or entry with many rows is no hot group.
-    hits = (
-        marked.where(F.size("_possible") > 0)
-        .withColumn("key", F.explode("_possible"))
-        .drop("_possible")
-        .join(entries.select("key", "h", "listed_verdict"), "key", "left")
-    )
-    order = F.struct(F.length("key"), F.length("h"), "key")
-    value = F.when(F.col("listed_verdict").isNotNull(), F.struct(order, "key", "listed_verdict"))
-    best = hits.groupBy("_row").agg(
-        *(F.first(c).alias(c) for c in [*kept, "host", "path"] if c in ("host", "path") or c in kept),
-        F.max(value).alias("_best"),
-    )
-    found = best.select(
-        *kept,
-        "host",
-        "path",
-        F.col("_best.key").alias("rule"),
-        F.coalesce("_best.listed_verdict", F.lit(default)).alias("verdict"),
+    hits = marked.where(F.size("possible") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("possible"))
+    hits = hits.drop("possible").join(entries.select("key", F.length("host").alias("n_host"), "verdict"), "key", "left")
+    fits = F.struct(F.length("key"), "n_host", "key", "verdict")
+    best = hits.groupBy("row").agg(
+        *(F.first(c).alias(c) for c in [*own, "host", "path"]),
+        F.max(F.when(F.col("verdict").isNotNull(), fits)).alias("best"),
     )
-    return none.unionByName(found)
+    found = best.withColumns({"rule": F.col("best.key"), "verdict": F.coalesce("best.verdict", F.lit(default))})
+    out = [*(F.col(o).alias(c) for c, o in zip(names, own, strict=True)), "host", "path", "rule", "verdict"]
+    return none.select(*out).unionAll(found.select(*out))
