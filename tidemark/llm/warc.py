@@ -13,7 +13,8 @@ with =, IN or IS NOT NULL are pushed down where `spark.sql.python.filterPushdown
 
 Nulls: html null is an empty payload; url null leaves out WARC-Target-URI; control characters and
 blanks in a URL are percent-encoded; a null page_id sorts last. Rows with equal page_id and payload
-are repeated records: one is the response, the rest revisit it. Only page_id, url and html are read.
+are repeated records: one is the response, the rest revisit it. Only page_id, url and html are read. A
+table without rows gives archives without records.
 """
 
 from __future__ import annotations
@@ -27,17 +28,25 @@ from collections.abc import Iterator
 from typing import Any
 from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import materialize
+from .common import BATCH_ROWS, materialize
 
 END = "\r\n"
 SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, "
     "payload_bytes bigint, content_length bigint, payload binary, file string, position bigint"
 )
+ARROW = pa.schema(
+    [
+        *((c, pa.string()) for c in ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")),
+        ("payload_bytes", pa.int64()), ("content_length", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("position", pa.int64()),
+    ]
+)
+BATCH_BYTES = 8 << 20
 #: column -> WARC field that alone gives it, for predicates on headers
 FIELDS = {
     "record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
@@ -151,6 +160,10 @@ class Files(InputPartition):
         self.files = files
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 def _file_system(path: str) -> tuple[Any, str]:
     """A pyarrow file system and the path in it; local paths may come without a scheme."""
     from pyarrow import fs
@@ -283,7 +296,19 @@ class WarcReader(DataSourceReader):
         value = head.get(FIELDS[name])
         return value.rpartition(":")[2] if name == "payload_digest" and value else value
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of BATCH_ROWS rows or about BATCH_BYTES of payload, whichever is less."""
+        rows, held = [], 0
+        for row in self.rows(partition):
+            rows.append(row)
+            held += len(row[7] or b"")
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def rows(self, partition: Files) -> Iterator[tuple]:
         system, _ = _file_system(self.path)
         for name in partition.files:
             raw = system.open_input_file(name)
