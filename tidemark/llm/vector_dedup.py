@@ -2,8 +2,8 @@
 
 Method. Equal vectors are folded into one first. In each pass every vector gets the concatenated signs
 of BITS random projections, and vectors are ordered by (label, length, that key). Each is compared with
-the next WINDOW ones in the order; pairs with a cosine of at least `threshold` are links. Pairs of all
-passes are united into components. The number of passes follows from the largest label's count, as
+the next WINDOW ones in the order; pairs with a cosine of at least `threshold` are links. A block emits a
+spanning forest of its links, and those of all passes are united into components. The number of passes follows from the largest label's count, as
 though vectors were spread evenly. How crowded each vector's place is in each pass is then measured: a
 vector within WINDOW rows of all that share its first d bits meets a pair at the threshold with the
 probability that these bits agree. Vectors whose passes together leave a chance above MISS are compared
@@ -16,7 +16,8 @@ block of at most MEMBERS vectors, without emitting a pair. Copies count by multi
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
 label, link with nothing. Rows with a null vec_id have a null component. Vectors of different length
-don't link. Repeated rows (equal vec_id) are copies like others. Extra columns are ignored.
+don't link. Repeated rows (equal vec_id) are copies like others. Extra columns are ignored. No vectors
+give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .graph import connected_components
-from .vectors import matrix, unit, usable, usable_vectors
+from .vectors import dots, forest, linked, matrix, unit, usable, usable_vectors
 
 BITS, WINDOW, BLOCK, MEMBERS = 48, 32, 4096, 1024
 MISS = 1e-5
@@ -122,14 +123,14 @@ def near_duplicate_vectors(frame: DataFrame, threshold: float = 0.98, seed: int
             pas, label, rep = part["pass"].to_numpy(), part["label"].to_numpy(), part["rep"].to_numpy()
             for d in range(1, min(WINDOW, len(part) - 1) + 1):
                 near = (number[d:] - number[:-d] <= WINDOW) & (pas[d:] == pas[:-d]) & (label[d:] == label[:-d])
-                near &= np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold
+                near &= dots(x[:-d], x[d:]) >= threshold
                 if near.any():
                     a, b = rep[:-d][near], rep[d:][near]
                     out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             chance = pd.DataFrame({"u": rep, "label": label, "size": size})
             chance["lost"] = lost(part["key"].to_numpy(), np.stack([pas, label], 1), threshold)
             chances.append(chance[number // BLOCK == pdf["block"].iloc[0]].groupby(["u", "label", "size"], as_index=False).sum())
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        pairs = forest(np.concatenate(out)) if out else np.zeros((0, 2), np.int64)
         links = pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
         return pd.concat([links, *chances])[["u", "v", "label", "size", "lost"]].astype({"v": "Int64", "label": "Int64", "size": "Int64"})
 
@@ -180,7 +181,7 @@ def _crowd_links(crowd: DataFrame, parts: DataFrame, threshold: float) -> DataFr
         out = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(left), 512):
             some = left[at : at + 512]
-            a, b = np.nonzero((x[some] @ x[right].T >= threshold) & (comp[some][:, None] != comp[right][None]))
+            a, b = np.nonzero(linked(x[some], x[right], threshold) & (comp[some][:, None] != comp[right][None]))
             out.append(np.unique(np.sort(np.stack([comp[some[a]], comp[right[b]]], 1), 1), axis=0))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
@@ -213,7 +214,7 @@ def _degrees(distinct: DataFrame, parts: DataFrame, threshold: float) -> DataFra
         out = []
         for _, part in pdf.groupby(["component", "label", "size"]):
             x, copies = unit(matrix(part["embedding"])), part["copies"].to_numpy()
-            near = x @ x.T >= threshold
+            near = linked(x, x, threshold)
             np.fill_diagonal(near, False)
             mine, i, j = part["mine"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
             if i != j:  # only pairs across the two blocks; those within are counted in (i, i)

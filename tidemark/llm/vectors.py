@@ -40,3 +40,38 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows divided by their length; very large or small components are scaled first."""
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of a with the same rows of b; the one measure that decides links."""
+    return np.einsum("ij,ij->i", a, b)
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each row of a and each of b have an inner product of at least threshold, as dots() has it.
+
+    A matrix product rounds differently, so it decides only where it is clear of the threshold.
+    """
+    s = a @ b.T
+    near = s >= threshold
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+    near[i, j] = dots(a[i], b[j]) >= threshold
+    return near
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (smallest member, other) that join what the rows of pairs join: one for each member but one."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, u, root[v])
+        np.minimum.at(new, v, root[u])
+        np.minimum.at(new, root, new)  # what a member reaches, its root reaches
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return np.stack([nodes[root[other]], nodes[other]], 1)
