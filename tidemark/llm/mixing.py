@@ -2,7 +2,7 @@
 
 Method. Documents are counted into cells (source, language, topic) of tokens. The cells' weights are
 raked: in turn each marginal's weighted token shares are scaled to its targets, until no scale factor
-differs from 1 by more than `tolerance` or `rounds` are done. A document's weight is its cell's; with
+differs from 1 by more than `tolerance` (or `rounds` are done, which is logged with what is left). A document's weight is its cell's; with
 `budget`, the share of all tokens wanted, its probability is budget * weight. Where that is above 1 for
 some cells, probabilities are calibrated themselves: each is min(1, a product of factors by marginal
 value), and the factors are scaled until expected tokens meet the marginals and the budget. A value
@@ -17,7 +17,8 @@ The cells stay distributed and are written to the shared folder between rounds.
 Defined cases: null source, lang or topic is a cell value of its own (the empty string and null count
 as `<none>`); a null or empty text has 0 tokens, weight of its cell and takes part; a marginal value
 without target keeps its natural share; targets of absent values go to the present ones in
-proportion; repeated rows are drawn alike, as the hash is of doc_id; a null doc_id is never kept.
+proportion; repeated rows are drawn alike, as the hash is of doc_id; a null doc_id is never kept; other
+columns are ignored by mix and kept by sample_mix, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def target_shares(cells: DataFrame, targets: Mapping[str, DataFrame], total: flo
 def rake(
     cells: DataFrame,
     targets: Mapping[str, DataFrame],
-    rounds: int = 12,
-    tolerance: float = 1e-9,
+    rounds: int = 100,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """cells (source, lang, topic, tokens) with `weight`: weighted shares meet the targets.
 
@@ -118,6 +119,8 @@ def rake(
         now = now.drop("off")
         if worst is None or worst <= tolerance:
             break
+    else:
+        log.warning("mixing: a scale factor is still off by %.2e after %d rounds of raking", worst, rounds)
     return now
 
 
@@ -141,7 +144,7 @@ def within_tokens(shares: DataFrame, margin: str, budget: float) -> DataFrame:
 
 
 def calibrate(
-    cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 60, tolerance: float = 1e-6
+    cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 100, tolerance: float = 1e-6
 ) -> DataFrame:
     """cells (source, lang, topic, tokens, weight) with `probability`, budget * weight if none is above 1.
 
@@ -190,7 +193,8 @@ def mix(
     budget: float = 0.5,
     alphas: Mapping[str, float] | None = None,
     targets: Mapping[str, DataFrame] | None = None,
-    rounds: int = 12,
+    rounds: int = 100,
+    tolerance: float = 1e-6,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_tokens, source, lang, topic, weight, probability, selected, and the columns of keep.
@@ -213,8 +217,8 @@ def mix(
     counted = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = materialize(spark, counted, "cells")
     wanted = {m: (targets or {}).get(m) or tempered(cells, m, alphas[m]) for m in MARGINS}
-    raked = materialize(spark, rake(cells, wanted, rounds), "raked")
-    weights = materialize(spark, calibrate(raked, wanted, budget).select(*MARGINS, "weight", "probability"), "weights")
+    raked = materialize(spark, rake(cells, wanted, rounds, tolerance), "raked")
+    weights = materialize(spark, calibrate(raked, wanted, budget, rounds, tolerance).select(*MARGINS, "weight", "probability"), "weights")
     return (
         rows.join(weights, list(MARGINS), "left")
         .withColumn("selected", F.coalesce(uniform(F.col("doc_id")) < F.col("probability"), F.lit(False)))
