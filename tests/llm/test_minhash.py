@@ -9,17 +9,17 @@ import pandas as pd
 from tidemark.llm import graph, minhash
 
 
-def brute_set(text):
+def brute_set(text, width=3):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2)) if len(words) > 2 else frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if len(words) >= width else frozenset([tuple(words)])
 
 
-def brute(rows):
+def brute(rows, percent=85, width=3):
     """doc_id -> (size, component); rows without doc_id left out."""
-    sets = [(i, brute_set(t)) for i, t in rows if i is not None]
+    sets = [(i, brute_set(t, width)) for i, t in rows if i is not None]
     parent = {i: i for i, _ in sets}
 
     def root(i):
@@ -29,7 +29,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return {(i, len(s)): root(i) for i, s in sets}
@@ -60,13 +60,24 @@ def fixture():
 def test_components_are_those_of_all_pairs(spark):
     rows = fixture()
     docs = spark.createDataFrame([(*r, 1) for r in [*rows, rows[0], (None, "x y z")]], "doc_id bigint, text string, component_id int")
-    got = minhash.near_duplicates(docs).collect()
+    got = minhash.near_duplicates(docs, 85, 3).collect()
     assert len(got) == len(rows) + 2
     want = brute(rows)
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got if r.doc_id is not None} == want
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_five_words_and_four_fifths(spark):
+    rows = fixture()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute(rows, 80, 5)
+
+
+def test_bands_for_the_threshold():
+    for percent in (50, 80, 85, 95, 100):
+        assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= 1e-6
+
+
 def crowd(seed=9):
     """Versions of one text that are no links, and two, not the most typical, that link with each other alone."""
     rng = random.Random(seed)
@@ -85,7 +96,7 @@ def test_links_within_a_crowded_bucket_are_found(spark):
     rows = crowd()
     want = brute(rows)
     assert len(set(want.values())) < len(rows)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85, 3).collect()
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == want
 
 
@@ -109,7 +120,7 @@ def test_pairs_by_bitmaps_miss_no_link():
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert minhash.near_duplicates(docs).count() == 0
+    assert minhash.near_duplicates(docs, 85, 3).count() == 0
 
 
 def test_signature_estimates_similarity():

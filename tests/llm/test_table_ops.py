@@ -117,7 +117,8 @@ def test_warc_predicates_skip_payloads(spark, tmp_path):
 
     left = list(reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("content_length",), 5)]))
     assert len(left) == 1 and reader.equal == {"record_type": frozenset(["response"])}
-    rows = [row for part in reader.partitions() for row in reader.read(part)]
+    rows = [row for part in reader.partitions() for row in reader.rows(part)]
+    assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == len(rows)
     assert {row[1] for row in rows} == {"response"}
 
 

@@ -1,9 +1,9 @@
 """MinHash near-dedup: one-permutation hashing, banded buckets, star-shaped candidates.
 
-Method. A document's set is its distinct word shingles, as 64-bit hashes. One permutation serves all of
-its `BINS` bins: the top bits of a shingle's hash name the bin, and a bin's value is its least hash.
-Empty bins are filled by optimal densification: bin i borrows from the first non-empty bin of its own
-fixed sequence of random bins. Bands of ROWS bins give buckets. Equal sets are folded into one class
+Method. A document's set is its distinct word shingles, as 64-bit hashes. One permutation serves all
+bins: the top bits of a shingle's hash name the bin, and a bin's value is its least hash. Empty bins are
+filled by optimal densification: bin i borrows from the first non-empty bin of its own fixed sequence of
+random bins. Bands of ROWS bins give buckets, as many as the threshold needs. Equal sets are folded into one class
 first. In each bucket the member that shares the most crowded buckets is the centre of a star, and only
 (member, centre) pairs are candidates; these are confirmed on full sets and joined into components.
 
@@ -13,7 +13,7 @@ against block of about MEMBERS members, by bitmaps of their sets' parities: the
 are no more than the hashes in which they do, so no link is passed over. What passes is confirmed on
 full sets, of each member the likeliest pairs with a component first; rounds go on, with more pairs of
 each, until all that pass are tested or within one component. Each pair of documents that shares a bucket is thus decided; a
-pair at the threshold itself shares none with probability (1 - 0.85**5)**25, under 1e-6.
+pair at the threshold itself shares none with a probability under 1e-6.
 
 Skew. Buckets, classes and centres with very many members are hot keys of joins between written tables,
 which AQE splits; sums are combined before they are shuffled. A Bloom filter of bounded size picks the
@@ -21,11 +21,15 @@ documents whose full sets are needed. Nothing that grows with the data goes to t
 
 Nulls: a null text or one without a word has an empty set and links with nothing. Rows with a null
 doc_id have a null component and are never kept. Rows that share a doc_id count as one document: their
-sets all stand for it. Extra columns are ignored.
+sets all stand for it. Extra columns are ignored. Of members of equal rank the smallest doc_id is the
+centre. No documents give no rows.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +40,8 @@ from .common import bounded_batches, kept, map_batches, materialize, rows_of
 from .graph import connected_components
 from .urls import build_filter, probe
 
-BINS, BANDS, ROWS = 128, 25, 5
+#: Bins of a band, and a pair's chance, at the threshold itself, of sharing no bucket.
+ROWS, MISS = 5, 5e-7
 #: Pairs of a member with another component in a first round, and members of a block.
 LIKELIEST, MEMBERS = 4, 1024
 MEMO = 150_000
@@ -62,7 +67,7 @@ class _Words(dict):
         return found
 
 
-def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
+def shingle_set(raw: bytes | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles: A-Z lowered, words between ASCII white space.
 
     With fewer than width words the whole sequence is one shingle; without words the set is empty.
@@ -82,30 +87,39 @@ def shingle_set(raw: bytes | None, width: int = 3) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
-#: For each bin the bins it borrows from, in turn: 64 random ones, then all.
-_DONORS = np.concatenate(
-    [np.random.default_rng(20240229).integers(0, BINS, (BINS, 64)), (np.arange(BINS)[:, None] + np.arange(1, BINS)) % BINS], 1
-)
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold shares a bucket but for a chance of MISS."""
+    one = (percent / 100) ** ROWS
+    return max(1, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - one))))
+
+
+@lru_cache(maxsize=4)
+def _bins(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """First hash of each of a power of two of bins, and the bins that each borrows from, in turn: 64 random ones, then all."""
+    edges = np.arange(bins, dtype=np.uint64) << np.uint64(65 - bins.bit_length())
+    random = np.random.default_rng(20240229).integers(0, bins, (bins, 64))
+    return edges, np.concatenate([random, (np.arange(bins)[:, None] + np.arange(1, bins)) % bins], 1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, bins: int = 128) -> np.ndarray:
     """The least hash of each bin of a non-empty sorted set, empty bins densified."""
-    at = np.searchsorted(hashes, _EDGES)
+    edges, donors = _bins(bins)
+    at = np.searchsorted(hashes, edges)
     found = hashes[np.minimum(at, len(hashes) - 1)]
-    full = (at < len(hashes)) & ((found >> np.uint64(57)) == np.arange(BINS, dtype=np.uint64))
+    full = (at < len(hashes)) & ((found >> np.uint64(65 - bins.bit_length())) == np.arange(bins, dtype=np.uint64))
     if not full.all():
         empty = np.flatnonzero(~full)
-        first = full[_DONORS[empty]].argmax(1)
-        found[empty] = found[_DONORS[empty, first]]
+        first = full[donors[empty]].argmax(1)
+        found[empty] = found[donors[empty, first]]
     return found
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band's values and number."""
+def bands_of(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key of each band's values and number, of a non-empty sorted set."""
+    bins = 1 << (bands * ROWS - 1).bit_length()
     with np.errstate(over="ignore"):
-        rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS)
-        h = np.arange(1, BANDS + 1, dtype=np.uint64) * _M[4]
+        rows = signature(hashes, bins)[: bands * ROWS].reshape(bands, ROWS)
+        h = np.arange(1, bands + 1, dtype=np.uint64) * _M[4]
         for k in range(ROWS):
             h = mix64(h * _M[3] + rows[:, k])
     return h
@@ -114,8 +128,9 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
-def sketch(docs: DataFrame, width: int = 3) -> DataFrame:
+def sketch(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set (null if empty) and its bands."""
+    number = bands_for(percent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b, bands = [], [], [], []
@@ -128,7 +143,7 @@ def sketch(docs: DataFrame, width: int = 3) -> DataFrame:
             with np.errstate(over="ignore"):
                 a.append(int(mix64(h * _M[0]).sum().view(np.int64)))
                 b.append(int(mix64(h ^ _M[1]).sum().view(np.int64)))
-            bands.append(bands_of(signature(h)).view(np.int64))
+            bands.append(bands_of(h, number).view(np.int64))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
@@ -138,7 +153,7 @@ def sketch(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_batches(narrow, run, SKETCH)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int = 3) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
     """doc_id and its full set (array of hashes) for the documents of ids, and few others."""
     made = build_filter(ids.select(F.col("doc_id").alias("key")))
     bloom = docs.sparkSession.sparkContext.broadcast(made)
@@ -159,13 +174,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = 3) -> DataFrame:
     return map_batches(narrow, run, "doc_id bigint, hashes array<bigint>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row a row.
 
     Documents are linked if 100 * intersection >= percent * union of their sets.
     """
     spark = docs.sparkSession
-    sketches = materialize(spark, sketch(docs.select("doc_id", "text"), width), "sketch")
+    sketches = materialize(spark, sketch(docs.select("doc_id", "text"), width, percent), "sketch")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
         spark, usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes"
@@ -228,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs' rows, one for each component: that of the smallest doc_id. Rows without doc_id go.
 
     Texts are not shuffled: a Bloom filter of bounded size passes rows that can't be of a dropped

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, licenses, minhash, mixing, secrets, urls, vector_dedup, warc
+from . import ann, language, licenses, minhash, mixing, secrets, sql, urls, vector_dedup, warc
 from .bpe import encode_documents
 from .common import new_path, table
 
@@ -52,7 +52,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return warc.read_warc(spark, path, payload="digest").select(
+    records = warc.read_warc(spark, path, payload="digest").where(F.col("record_type").isin("response", "revisit"))
+    return records.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         "payload_bytes",
         "payload_digest",
@@ -82,7 +83,7 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, width=3)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +95,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), tolerance=1e-12)
     return found.select(
         "doc_id", "n_tokens", "source", "lang", "topic",
         F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected",
@@ -112,4 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc": sql.warc(),
+        "op6_url_filter": sql.urls(RULES),
+        "op7_vector_dedup": sql.vector_dedup(),
+        "op8_minhash": sql.minhash(),
+        "op10_mixing": sql.mixing(),
+    }
