@@ -31,8 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Rows without doc_id go."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (four fifths of shingles of five words): that with the smallest doc_id.
+
+    Rows without doc_id go.
+    """
+    return minhash.drop_near_duplicates(docs, percent=80, width=5)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
