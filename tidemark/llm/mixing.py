@@ -2,7 +2,7 @@
 
 Method. Documents are counted into cells (source, language, topic) of tokens. The cells' weights are
 raked: in turn each marginal's weighted token shares are scaled to its targets, until no scale factor
-differs from 1 by more than `tolerance` (or `rounds` are done, which is logged with what is left). A document's weight is its cell's; with
+differs from 1 by more than `tolerance` (or `rounds` are done or hardly improve, which is logged). A document's weight is its cell's; with
 `budget`, the share of all tokens wanted, its probability is budget * weight. Where that is above 1 for
 some cells, probabilities are calibrated themselves: each is min(1, a product of factors by marginal
 value), and the factors are scaled until expected tokens meet the marginals and the budget. A value
@@ -24,6 +24,7 @@ columns are ignored by mix and kept by sample_mix, whatever their names; an empt
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,8 @@ from .common import materialize
 
 MARGINS = ("source", "lang", "topic")
 NONE = "<none>"
+#: Three rounds that leave more than this share of the residual each: targets contradict one another.
+STALLED = 0.8
 log = logging.getLogger(__name__)
 
 
@@ -89,8 +92,8 @@ def target_shares(cells: DataFrame, targets: Mapping[str, DataFrame], total: flo
 def rake(
     cells: DataFrame,
     targets: Mapping[str, DataFrame],
-    rounds: int = 100,
-    tolerance: float = 1e-6,
+    rounds: int = 40,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """cells (source, lang, topic, tokens) with `weight`: weighted shares meet the targets.
 
@@ -103,6 +106,7 @@ def rake(
     if not total:
         return now
     fixed = target_shares(cells, targets, total)
+    worst, slow = math.inf, 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for margin in MARGINS:
@@ -115,12 +119,13 @@ def rake(
             now = now.withColumn(f"off_{margin}", F.abs(F.col("factor") - 1)).drop("factor")
             off = F.greatest(off, F.col(f"off_{margin}"))
         now = materialize(spark, now.withColumn("off", off).select(*cells.columns, "weight", "off"), "rake")
-        worst = now.where("tokens > 0").agg(F.max("off").alias("m")).first()["m"]
+        before, worst = worst, now.where("tokens > 0").agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
-        if worst is None or worst <= tolerance:
+        slow = slow + 1 if worst > STALLED * before else 0
+        if worst <= tolerance or slow == 3:
             break
-    else:
-        log.warning("mixing: a scale factor is still off by %.2e after %d rounds of raking", worst, rounds)
+    if worst > tolerance:
+        log.warning("mixing: raking leaves a scale factor off by %.2e", worst)
     return now
 
 
@@ -144,7 +149,7 @@ def within_tokens(shares: DataFrame, margin: str, budget: float) -> DataFrame:
 
 
 def calibrate(
-    cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 100, tolerance: float = 1e-6
+    cells: DataFrame, targets: Mapping[str, DataFrame], budget: float, rounds: int = 40, tolerance: float = 1e-6
 ) -> DataFrame:
     """cells (source, lang, topic, tokens, weight) with `probability`, budget * weight if none is above 1.
 
@@ -161,7 +166,7 @@ def calibrate(
     wanted = {
         m: materialize(spark, within_tokens(shares, m, share), f"want-{m}") for m, shares in target_shares(cells, targets, total).items()
     }
-    worst = 0.0
+    worst, slow = math.inf, 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for margin in MARGINS:
@@ -179,12 +184,13 @@ def calibrate(
             now = now.join(factors, margin, "left").withColumn("raw", F.col("raw") * F.col("factor")).drop("factor")
             off = F.greatest(off, F.col(f"off_{margin}"))
         now = materialize(spark, now.withColumn("off", off).select(*cells.columns, "raw", "off"), "calibrate")
-        worst = now.agg(F.max("off").alias("m")).first()["m"]
+        before, worst = worst, now.agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
-        if worst <= tolerance:
+        slow = slow + 1 if worst > STALLED * before else 0
+        if worst <= tolerance or slow == 3:
             break
-    else:
-        log.warning("mixing: a marginal is still off by %.6f of the budget after %d rounds", worst, rounds)
+    if worst > tolerance:
+        log.warning("mixing: the marginals can't all be met, one is off by %.6f of the budget", worst)
     return now.withColumn("probability", p).drop("raw")
 
 
@@ -193,7 +199,7 @@ def mix(
     budget: float = 0.5,
     alphas: Mapping[str, float] | None = None,
     targets: Mapping[str, DataFrame] | None = None,
-    rounds: int = 100,
+    rounds: int = 40,
     tolerance: float = 1e-6,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:

@@ -95,7 +95,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), tolerance=1e-12)
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), tolerance=1e-9)
     return found.select(
         "doc_id", "n_tokens", "source", "lang", "topic",
         F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected",
