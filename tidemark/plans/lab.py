@@ -129,7 +129,7 @@ def target_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = derived.events(spark, sf_dir).where("event_id < 50").select((F.col("event_id") * 7 + 3).alias("base_tps"), (F.col("event_id") % 5 + 1).alias("workers"))
+    plans = derived.events(spark, sf_dir).select((F.col("event_id") % 1000 * 7 + 3).alias("base_tps"), (F.col("event_id") % 5 + 1).alias("workers"))
     return plain(experiments.worker_split(plans))
 
 
@@ -427,7 +427,7 @@ QUERIES = {
     ),
     "worker_split": (
         worker_split,
-        "WITH p AS (SELECT event_id * 7 + 3 AS base_tps, event_id % 5 + 1 AS workers FROM events WHERE event_id < 50) SELECT base_tps, workers, w AS worker, "
+        "WITH p AS (SELECT event_id % 1000 * 7 + 3 AS base_tps, event_id % 5 + 1 AS workers FROM events) SELECT base_tps, workers, w AS worker, "
         "base_tps // workers + (w < base_tps % workers)::BIGINT AS worker_tps FROM p, LATERAL (SELECT unnest(range(0, workers)) AS w)",
     ),
     "experiment_spans": (

@@ -208,9 +208,10 @@ class Consumer:
         stream = stream_log(self.spark, self.path, subscription, self._files)
 
         def batch(frame: DataFrame, batch_id: int) -> None:
-            decided = self.decide(frame, batch_id, now_ms())
+            decided = self.decide(frame, batch_id, now_ms()).persist()  # read by each branch of handle
             target = f"{outcomes.rstrip('/')}/batch={batch_id}"
             handle(decided, self._handling, self._mode.tracks_offsets and self._mode is not Mode.AT_LEAST_ONCE_NO_ORDERING).write.mode("overwrite").parquet(target)
+            decided.unpersist()
             written = frame.sparkSession.read.parquet(target)
             counts = {r["outcome"]: r["count"] for r in written.groupBy("outcome").count().collect()}
             for k, n in counts.items():
