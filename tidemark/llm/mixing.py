@@ -12,7 +12,8 @@ proportion. A document is kept if a hash of doc_id, uniform in [0, 1), is below
 Native: DataFrame and SQL functions only. Two passes over the documents; the first is an aggregation
 with map-side combining, so a hot source costs nothing, the second a join with the cells, of which AQE
 splits a hot key's partition unless the cells are small enough to be broadcast by Spark's own check.
-The cells stay distributed and are written to the shared folder between rounds.
+The cells are written to the shared folder between rounds, CELLS a partition; while they are no more,
+a round is one task.
 
 Defined cases: null source, lang or topic is a cell value of its own (the empty string and null count
 as `<none>`); a null or empty text has 0 tokens, weight of its cell and takes part; a marginal value
@@ -34,6 +35,8 @@ from .common import materialize
 
 MARGINS = ("source", "lang", "topic")
 NONE = "<none>"
+#: Cells of a partition while marginals are scaled: so many are a task's work of a moment.
+CELLS = 250_000
 #: Three rounds that leave more than this share of the residual each: targets contradict one another.
 STALLED = 0.8
 log = logging.getLogger(__name__)
@@ -60,6 +63,15 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def _packed(cells: DataFrame, parts: int | None = None) -> DataFrame:
+    """cells in as few partitions as CELLS allows. A single one is summed and joined without a shuffle."""
+    return cells.coalesce(parts or _parts(cells))
+
+
+def _parts(cells: DataFrame) -> int:
+    return max(1, math.ceil(cells.count() / CELLS))
+
+
 def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """Targets in proportion to natural token shares to the power alpha (1: natural, 0: even)."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
@@ -101,6 +113,8 @@ def rake(
     token is 1.
     """
     spark = cells.sparkSession
+    parts = _parts(cells)
+    cells = _packed(cells, parts)
     now = cells.withColumn("weight", F.lit(1.0))
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
     if not total:
@@ -118,7 +132,7 @@ def rake(
             now = now.join(factors, margin, "left").withColumn("weight", F.col("weight") * F.col("factor"))
             now = now.withColumn(f"off_{margin}", F.abs(F.col("factor") - 1)).drop("factor")
             off = F.greatest(off, F.col(f"off_{margin}"))
-        now = materialize(spark, now.withColumn("off", off).select(*cells.columns, "weight", "off"), "rake")
+        now = _packed(materialize(spark, now.withColumn("off", off).select(*cells.columns, "weight", "off"), "rake"), parts)
         before, worst = worst, now.where("tokens > 0").agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
         slow = slow + 1 if worst > STALLED * before else 0
@@ -157,6 +171,8 @@ def calibrate(
     concave in a factor, so a step never passes the solution from below.
     """
     spark = cells.sparkSession
+    parts = _parts(cells)
+    cells = _packed(cells, parts)
     now = cells.withColumn("raw", F.lit(float(budget)) * F.col("weight"))
     p = F.least(F.lit(1.0), F.col("raw"))
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
@@ -183,7 +199,7 @@ def calibrate(
             )
             now = now.join(factors, margin, "left").withColumn("raw", F.col("raw") * F.col("factor")).drop("factor")
             off = F.greatest(off, F.col(f"off_{margin}"))
-        now = materialize(spark, now.withColumn("off", off).select(*cells.columns, "raw", "off"), "calibrate")
+        now = _packed(materialize(spark, now.withColumn("off", off).select(*cells.columns, "raw", "off"), "calibrate"), parts)
         before, worst = worst, now.agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
         slow = slow + 1 if worst > STALLED * before else 0
@@ -221,7 +237,7 @@ def mix(
         token_count(F.col("text")).alias("n_tokens"),
     )
     counted = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = materialize(spark, counted, "cells")
+    cells = _packed(materialize(spark, counted, "cells"))
     wanted = {m: (targets or {}).get(m) or tempered(cells, m, alphas[m]) for m in MARGINS}
     raked = materialize(spark, rake(cells, wanted, rounds, tolerance), "raked")
     weights = materialize(spark, calibrate(raked, wanted, budget, rounds, tolerance).select(*MARGINS, "weight", "probability"), "weights")
