@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import kept, map_batches, rows_of
 
 #: Memoised pieces, and transducer states; beyond it a memo is cleared and built again.
-MEMO, STATES = 120_000, 200_000
+MEMO, STATES = 60_000, 200_000
 
 
 def ranks_of(raw: bytes) -> dict[bytes, int]:

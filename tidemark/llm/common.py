@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -47,7 +48,7 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 #: Most rows of an Arrow batch of texts: what a batch holds exists several times over, in the JVM and in Python.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -74,6 +75,7 @@ def map_batches(
 
 
 _KEPT: dict = {}
+LIBC = ctypes.CDLL(None)
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -86,6 +88,8 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
         _KEPT.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(LIBC, "malloc_trim"):  # glibc
+            LIBC.malloc_trim(0)
         found = _KEPT[key] = make()
     return found
 
