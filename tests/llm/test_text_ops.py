@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import time
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -188,6 +190,27 @@ def test_an_unquoted_word_ends_before_a_sensitive_name():
     assert values("auth_key=user1234567890:pw") == ["user1234567890:pw"]
 
 
+def test_long_unquoted_words_are_whole():
+    long = "".join(hashlib.sha256(str(k).encode()).hexdigest()[:20].upper() + "!x" for k in range(500))
+    assert values(f"bearer: {long}\n") == values(f"auth_key={long}") == values(f"a={long}\nsigning_key = a\n") == [long]
+    name = "q7Zk" * 300
+    assert values(f"bearer={name};") == [name]
+    began = time.process_time()
+    names = [f"v{k}" for k in range(8_000)]
+    overlapping = "=".join(names) + f"={long}\nauth_key = " + " + ".join(names) + "\n"
+    assert values(overlapping) == [overlapping[k : overlapping.index("\n")] for k in accumulate(len(n) + 1 for n in names)]
+    assert time.process_time() - began < 60
+
+
+def test_words_of_one_end_are_measured_as_they_are_alone():
+    text = "a=" + "=".join(f"v{k}{hashlib.md5(str(k).encode()).hexdigest()}" for k in range(300)) + "\n"
+    for _, value in secrets.lex(text):
+        (a, b, _), = value.parts
+        got, want = secrets.measure(value, text), secrets.Measures.of(text[a:b], False)
+        assert np.allclose(got.counts, want.counts)
+        assert all(getattr(got, k) == getattr(want, k) for k in ("size", "quoted", "lines", "classes", "head", "tail", "text"))
+
+
 def test_redaction_keeps_names_and_columns(spark):
     rows = [(1, 'a password = "hunter22x" b', 99), (2, None, None), (3, "", 0), (4, "plain", 5)]
     got = secrets.redact_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")).collect()

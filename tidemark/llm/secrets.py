@@ -66,12 +66,14 @@ NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+", re
 TARGET = re.compile(
     r"""["']?(?:\s*+:\s*+[A-Za-z_][\w.<>\[\]]*+(?=\s*+=[^=]))?[\x20\t]*+(:=|=>|=|:)(?![=:/])[\x20\t]*+""", re.ASCII
 )
-#: An unquoted word of more characters is no literal.
-LONGEST_WORD = 1024
 TERM = re.compile(
-    r"""\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:[^"\\\n]|\\.)*+)"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<b>[^`]*+)`|(?P<n>[A-Za-z_$][\w$.]{0,1023}+)(?=[\x20\t]*(?:$|[;,)}\n+]))|(?P<w>[^\s"'`,;(){}\[\]<>]{1,1025}+)""",
+    r"""\"\"\"(?P<t>.*?)\"\"\"|"(?P<d>(?:[^"\\\n]|\\.)*+)"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<b>[^`]*+)`|(?P<n>[A-Za-z_$][\w$.]*+)(?=[\x20\t]*(?:$|[;,)}\n+]))|(?P<w>[^\s"'`,;(){}\[\]<>])""",
     re.DOTALL | re.MULTILINE | re.ASCII,
 )
+#: What ends an unquoted word, of which TERM takes the first character alone.
+STOP = re.compile(r"""[\s"'`,;(){}\[\]<>]|\Z""", re.ASCII)
+#: Words that end together are measured by what the next one so many characters on measures.
+BLOCK = 1024
 QUOTES = ('"', "'", "`")
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.?)[\x20\t]*\n?[\x20\t]*")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -90,10 +92,12 @@ class Span(NamedTuple):
 class Value:
     """What a name was given: literals (start, end, quoted) and values of other names, by reference."""
 
-    __slots__ = ("measures", "parts")
+    __slots__ = ("measures", "parts", "pieces")
 
     def __init__(self, parts: list):
         self.parts: list[tuple[int, int, bool] | Value] = parts
+        #: the same text in the pieces that are measured
+        self.pieces = parts
         self.measures: Measures | None = None
 
 
@@ -148,11 +152,11 @@ def measure(value: Value, text: str) -> Measures:
         if top.measures is not None:
             stack.pop()
             continue
-        waiting = [p for p in top.parts if isinstance(p, Value) and p.measures is None]
+        waiting = [p for p in top.pieces if isinstance(p, Value) and p.measures is None]
         if waiting:
             stack += waiting
             continue
-        top.measures = Measures([p.measures if isinstance(p, Value) else Measures.of(text[p[0] : p[1]], p[2]) for p in top.parts])
+        top.measures = Measures([p.measures if isinstance(p, Value) else Measures.of(text[p[0] : p[1]], p[2]) for p in top.pieces])
         stack.pop()
     return value.measures
 
@@ -185,8 +189,9 @@ def lex(text: str) -> list[tuple[str, Value]]:
     """(name, its value) in the text's order, with constants followed through names.
 
     The environment is the text's own: a name stands for the value it was given last before. Values
-    refer to one another, so a name made of others costs no copy. An unquoted word ends before a
-    sensitive name that is itself given a value.
+    refer to one another, so a name made of others costs no copy. An unquoted word, however long, ends
+    before a sensitive name that is itself given a value. Words may overlap (`a=b=c`): those of one end
+    are measured by one another.
     """
     targets: list[tuple[int, str, int, str]] = []
     upto = 0
@@ -201,6 +206,8 @@ def lex(text: str) -> list[tuple[str, Value]]:
             end = start
     constants: dict[str, Value] = {}
     found = []
+    run = (0, 0)  # the unquoted characters last seen
+    words: list[Value] = []  # unquoted words of one end, from the last one that others are measured by
     for (_, name, at, operator), end in zip(targets, reversed(ends), strict=True):
         parts: list = []
         while term := TERM.match(text, at) if text[at : at + 1] in QUOTES else TERM.match(text, at, end):
@@ -211,10 +218,24 @@ def lex(text: str) -> list[tuple[str, Value]]:
                     parts.append(known)
                 elif not parts and operator != "=>":
                     parts.append((term.start(), term.end(), False))
-            elif kind != "w" or term.end() - term.start() <= LONGEST_WORD:
-                parts.append((term.start(kind), term.end(kind), kind != "w"))
+            elif kind == "w":
+                if not run[0] <= at < run[1]:
+                    run = at, STOP.search(text, at).start()
+                stop = min(run[1], end)
+                word = Value([(at, stop, False)])
+                if words and not (words[-1].parts[0][0] <= at and words[-1].parts[0][1] == stop):
+                    words = []
+                if words and at >= words[0].parts[0][0] + BLOCK:
+                    for w in words:
+                        w.pieces = [(w.parts[0][0], at, False), word]
+                    words = []
+                words.append(word)
+                parts.append(word)
+                break
+            else:
+                parts.append((term.start(kind), term.end(kind), True))
             joined = JOIN.match(text, term.end())
-            if kind == "w" or joined is None:
+            if joined is None:
                 break
             at = joined.end()
         if parts:
