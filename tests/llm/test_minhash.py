@@ -100,6 +100,41 @@ def test_links_within_a_crowded_bucket_are_found(spark):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == want
 
 
+def test_a_document_is_placed_once_a_round_and_only_likely_pairs_shuffle_sets(spark, monkeypatch):
+    counts = {}
+    real = minhash.materialize
+
+    def counted(session, df, tag):
+        out = real(session, df, tag)
+        counts.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    rows = crowd()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85, 3).collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute(rows)
+    assert max(counts["placed"]) <= len(rows)
+    assert counts["pairs"][1] < counts["pairs"][0] / 2  # of the star's pairs, those that bitmaps pass
+
+
+def test_star_pairs_passed_by_bitmaps_miss_no_link(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(360, 600)], rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(60)]
+    top = 2**63 - 60
+    rows = [(top + k, len(h), h.view(np.int64).tolist(), minhash.bitmap(h).view(np.int64).tolist()) for k, h in enumerate(sets)]
+    table = spark.createDataFrame(rows, "doc_id bigint, n_set bigint, hashes array<bigint>, bits array<bigint>")
+    pairs = [(top + a, top + b, top + (a if (a + b) % 2 else b)) for b in range(60) for a in range(b)]
+    near = minhash.passed(spark.createDataFrame(pairs, "a bigint, b bigint, centre bigint"), table, 85)
+    centre = {(a, b): c for a, b, c in pairs}
+    assert len(set(map(len, (r[3] for r in rows)))) > 1
+    assert all(r.b == centre[min(r.a, r.b), max(r.a, r.b)] for r in near.collect())
+    links = {(min(r.u, r.v) - top, max(r.u, r.v) - top) for r in minhash.confirm(near, table, 85).collect()}
+    common = lambda a, b: len(np.intersect1d(a, b))
+    want = {(a, b) for b in range(60) for a in range(b) if 100 * (s := common(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - s)}
+    assert links == want and 0 < len(want) < near.count() < len(pairs)
+
+
 def test_pairs_by_bitmaps_miss_no_link():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 600, dtype=np.uint64)

@@ -5,7 +5,8 @@ bins: the top bits of a shingle's hash name the bin, and a bin's value is its le
 filled by optimal densification: bin i borrows from the first non-empty bin of its own fixed sequence of
 random bins. Bands of ROWS bins give buckets, as many as the threshold needs. Equal sets are folded into one class
 first. In each bucket the member that shares the most crowded buckets is the centre of a star, and only
-(member, centre) pairs are candidates; these are confirmed on full sets and joined into components.
+(member, centre) pairs are candidates; those that bitmaps of the sets (below) pass are confirmed on
+full sets and joined into components.
 
 Stars alone could lose a link between two members that the centre doesn't tie together. So in buckets
 whose members are still in several components, all pairs of different components are compared, block
@@ -154,7 +155,7 @@ def sketch(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id and its full set (array of hashes) for the documents of ids, and few others."""
+    """doc_id, n_set, its full set (array of hashes) and the set's bitmap, for the documents of ids and few others."""
     made = build_filter(ids.select(F.col("doc_id").alias("key")))
     bloom = docs.sparkSession.sparkContext.broadcast(made)
 
@@ -163,15 +164,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
         if not len(may):
             return None
         picked = batch.take(pa.array(may))
-        sets = [shingle_set(raw, width).view(np.int64) for raw in rows_of(picked.column(1).cast(pa.binary()))]
-        return pa.RecordBatch.from_arrays([picked.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+        sets = [shingle_set(raw, width) for raw in rows_of(picked.column(1).cast(pa.binary()))]
+        lists = (pa.array([h.view(np.int64) for h in x], pa.list_(pa.int64())) for x in (sets, map(bitmap, sets)))
+        return pa.RecordBatch.from_arrays([picked.column(0), pa.array(map(len, sets), pa.int64()), *lists], names=["doc_id", "n_set", "hashes", "bits"])
 
     narrow = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("doc_id").cast("bigint")).alias("h"),
     )
-    return map_batches(narrow, run, "doc_id bigint, hashes array<bigint>")
+    return map_batches(narrow, run, "doc_id bigint, n_set bigint, hashes array<bigint>, bits array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -189,31 +191,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
     )
     folded = materialize(spark, folded, "folded")
-    rows = folded.where("bands is not null").select("doc_id", "n_shingles", F.explode("bands").alias("bucket")).distinct()
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = materialize(spark, crowded, "buckets")
-    members = materialize(spark, rows.join(crowded, "bucket"), "members")
-    weight = materialize(spark, members.groupBy("doc_id").agg(F.sum("size").alias("weight")), "weight")
-    members = members.join(weight, "doc_id").select("bucket", "doc_id", "n_shingles", F.struct("weight", -F.col("doc_id")).alias("rank"))
-    members = materialize(spark, members, "members")
+    rows = folded.where("bands is not null").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    crowded = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("size"))
+    crowded = materialize(spark, crowded.where("least < most").select("bucket", "size"), "buckets")
+    members = rows.join(crowded, "bucket").groupBy("doc_id", "n_shingles")
+    members = materialize(spark, members.agg(F.collect_set("bucket").alias("buckets"), F.sum("size").alias("weight")), "members")
+    ranked = members.select(
+        F.explode("buckets").alias("bucket"), "doc_id", "n_shingles", F.struct("weight", -F.col("doc_id")).alias("rank")
+    )
     centre = F.max(F.struct("rank", "doc_id", "n_shingles")).alias("c")
     centres = materialize(
         spark,
-        members.groupBy("bucket").agg(centre).select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("centre_n")),
+        ranked.groupBy("bucket").agg(centre).select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("centre_n")),
         "centres",
     )
     similar_size = (100 * F.least("n_shingles", "centre_n")) >= (percent * F.greatest("n_shingles", "centre_n"))
-    pairs = members.join(centres, "bucket").where((F.col("doc_id") != F.col("centre")) & similar_size)
+    pairs = ranked.join(centres, "bucket").where((F.col("doc_id") != F.col("centre")) & similar_size)
     tested = materialize(spark, _ordered(pairs), "pairs")
-    sets = materialize(spark, full_sets(docs, members.select("doc_id").distinct(), width), "sets")
-    edges = materialize(spark, confirm(tested, sets, percent), "links")
+    sets = materialize(spark, full_sets(docs, members.select("doc_id"), width), "sets")
+    near = materialize(spark, passed(tested, sets, percent), "pairs")
+    edges = materialize(spark, confirm(near, sets, percent), "links")
+    tested = tested.select("a", "b")
     parts = connected_components(spark, edges)
-    bitmaps, most = None, LIKELIEST
+    most = LIKELIEST
     while True:
         placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")
+            "buckets", "doc_id", F.coalesce("component", "doc_id").alias("part")
         )
-        placed = materialize(spark, placed.distinct(), "placed")
+        placed = materialize(spark, placed, "placed").select(F.explode("buckets").alias("bucket"), "doc_id", "part")
         split = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
         split = split.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
         # of two members the star has tested the only pair
@@ -221,10 +226,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         split = materialize(spark, split, "split")
         if split.isEmpty():
             break
-        if bitmaps is None:
-            bitmaps = materialize(spark, map_batches(sets, _bitmaps, "doc_id bigint, n_set bigint, bits array<bigint>"), "bitmaps")
         unsettled = materialize(spark, placed.join(split, "bucket"), "unsettled")
-        likely = materialize(spark, _across(unsettled, bitmaps, percent, most), "likely")
+        likely = materialize(spark, _across(unsettled, sets.select("doc_id", "n_set", "bits"), percent, most), "likely")
         fresh = materialize(spark, likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(spark, confirm(fresh, sets, percent), "links")
         more = not likely.where("more").isEmpty()
@@ -283,12 +286,6 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _bitmaps(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows_of(batch.column(1))]
-    bits = pa.array([bitmap(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), bits], names=["doc_id", "n_set", "bits"])
-
-
 def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps (rows, words) as they would be with fewer words."""
     while bits.shape[1] > words:
@@ -366,13 +363,36 @@ def _across(unsettled: DataFrame, bitmaps: DataFrame, percent: int, most: int) -
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    """a < b of pairs (doc_id, centre), each once, and which of the two is a centre."""
+    ordered = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"), "centre")
+    return ordered.groupBy("a", "b").agg(F.max("centre").alias("centre"))
+
+
+def passed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, centre) those that bitmaps let be links, as b the centre. No link is passed over."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        for n, x, y in zip(*(rows_of(batch.column(c)) for c in ("n", "x", "y")), strict=True):
+            x, y = (np.asarray(bits, np.int64).view(np.uint64)[None] for bits in (x, y))
+            words = min(x.shape[1], y.shape[1])
+            differ = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+            near.append((100 + percent) * differ <= (100 - percent) * n)
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n_set").alias("n_a"), F.col("bits").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n_set").alias("n_b"), F.col("bits").alias("y"))
+    one = F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("a")
+    both = pairs.select(one, F.col("centre").alias("b")).join(left, "a").join(right, "b")
+    similar_size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = both.where(similar_size).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
+    return map_batches(both, run, "a bigint, b bigint").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough."""
+    """Pairs (u, v) whose full sets are similar enough. Only sets of the pairs are shuffled."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a")
