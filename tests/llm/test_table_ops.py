@@ -213,3 +213,18 @@ def test_calibrated_sample_is_near_the_budget(spark):
     got = mixing.mix(docs).toPandas()
     share = (got.n_tokens * got.selected).sum() / (got.n_tokens * got.probability).sum()
     assert 0.85 < share < 1.15
+
+
+def test_a_round_of_few_cells_has_no_join(spark, monkeypatch):
+    plans, real = [], mixing.materialize
+
+    def seen(session, df, tag):
+        if tag == "rake":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(session, df, tag)
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    rows = [("abc"[k % 3], "xy"[k % 2], "t", 5 + k) for k in range(6)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    mixing.rake(cells, {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}, rounds=1)
+    assert plans and "Join" not in plans[-1]

@@ -13,7 +13,7 @@ Native: DataFrame and SQL functions only. Two passes over the documents; the fir
 with map-side combining, so a hot source costs nothing, the second a join with the cells, of which AQE
 splits a hot key's partition unless the cells are small enough to be broadcast by Spark's own check.
 The cells are written to the shared folder between rounds, CELLS a partition; while they are no more,
-a round is one task.
+a round is one task without a join.
 
 Defined cases: null source, lang or topic is a cell value of its own (the empty string and null count
 as `<none>`); a null or empty text has 0 tokens, weight of its cell and takes part; a marginal value
@@ -28,7 +28,7 @@ import logging
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -72,6 +72,24 @@ def _parts(cells: DataFrame) -> int:
     return max(1, math.ceil(cells.count() / CELLS))
 
 
+def _summed(cells: DataFrame, margin: str, parts: int, **sums: Column) -> DataFrame:
+    """cells with sums over the cells of their value of margin.
+
+    In a single partition these are windows: a round's plan is one chain, where a join with the sums
+    would read, three margins deep, eight times what came before it.
+    """
+    if parts == 1:
+        return cells.withColumns({name: F.sum(c).over(Window.partitionBy(margin)) for name, c in sums.items()})
+    return cells.join(cells.groupBy(margin).agg(*(F.sum(c).alias(name) for name, c in sums.items())), margin)
+
+
+def _with_margins(cells: DataFrame, frames: Mapping[str, DataFrame], column: str, prefix: str) -> DataFrame:
+    """cells with column of each margin's frame as prefix_margin, null where the frame lacks the value."""
+    for margin in MARGINS:
+        cells = cells.join(frames[margin].select(margin, F.col(column).alias(f"{prefix}_{margin}")), margin, "left")
+    return cells
+
+
 def tempered(cells: DataFrame, margin: str, alpha: float) -> DataFrame:
     """Targets in proportion to natural token shares to the power alpha (1: natural, 0: even)."""
     shares = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("n")).where("n > 0")
@@ -119,20 +137,20 @@ def rake(
     total = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"]
     if not total:
         return now
-    fixed = target_shares(cells, targets, total)
+    now = _with_margins(now, target_shares(cells, targets, total), "share", "share")
+    now = _packed(materialize(spark, now, "rake"), parts)
     worst, slow = math.inf, 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for margin in MARGINS:
-            sums = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-            factors = sums.join(fixed[margin], margin, "left").select(
-                margin,
-                F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(total) / F.col("have")).otherwise(1.0).alias("factor"),
-            )
-            now = now.join(factors, margin, "left").withColumn("weight", F.col("weight") * F.col("factor"))
-            now = now.withColumn(f"off_{margin}", F.abs(F.col("factor") - 1)).drop("factor")
+            now = _summed(now, margin, parts, have=F.col("tokens") * F.col("weight"))
+            share = F.coalesce(f"share_{margin}", F.lit(0.0))
+            factor = F.when(F.col("have") > 0, share * F.lit(total) / F.col("have")).otherwise(1.0)
+            now = now.withColumn("factor", factor).withColumn("weight", F.col("weight") * F.col("factor"))
+            now = now.withColumn(f"off_{margin}", F.abs(F.col("factor") - 1)).drop("factor", "have")
             off = F.greatest(off, F.col(f"off_{margin}"))
-        now = _packed(materialize(spark, now.withColumn("off", off).select(*cells.columns, "weight", "off"), "rake"), parts)
+        now = now.withColumn("off", off).drop(*(f"off_{m}" for m in MARGINS))
+        now = _packed(materialize(spark, now, "rake"), parts)
         before, worst = worst, now.where("tokens > 0").agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
         slow = slow + 1 if worst > STALLED * before else 0
@@ -140,7 +158,7 @@ def rake(
             break
     if worst > tolerance:
         log.warning("mixing: raking leaves a scale factor off by %.2e", worst)
-    return now
+    return now.drop(*(f"share_{m}" for m in MARGINS))
 
 
 def within_tokens(shares: DataFrame, margin: str, budget: float) -> DataFrame:
@@ -182,24 +200,21 @@ def calibrate(
     wanted = {
         m: materialize(spark, within_tokens(shares, m, share), f"want-{m}") for m, shares in target_shares(cells, targets, total).items()
     }
+    now = _packed(materialize(spark, _with_margins(now, wanted, "want", "want"), "calibrate"), parts)
     worst, slow = math.inf, 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for margin in MARGINS:
-            sums = now.groupBy(margin).agg(
-                F.sum(F.col("tokens") * p).alias("have"),
-                F.sum(F.when(F.col("raw") < 1, F.col("tokens") * F.col("raw")).otherwise(0.0)).alias("free"),
-            )
-            want, have, free = F.col("want") * F.lit(total), F.col("have"), F.col("free")
+            free = F.when(F.col("raw") < 1, F.col("tokens") * F.col("raw")).otherwise(0.0)
+            now = _summed(now, margin, parts, have=F.col("tokens") * p, free=free)
+            want, have, free = F.col(f"want_{margin}") * F.lit(total), F.col("have"), F.col("free")
             step = F.when(free > 0, 1 + (want - have) / free)
-            factors = sums.join(wanted[margin], margin, "left").select(
-                margin,
-                F.coalesce(F.when(step > 0, step), F.when((have > want) & (have > 0), want / have), F.lit(1.0)).alias("factor"),
-                F.coalesce(F.abs(want - have) / F.lit(share * total), F.lit(0.0)).alias(f"off_{margin}"),
-            )
-            now = now.join(factors, margin, "left").withColumn("raw", F.col("raw") * F.col("factor")).drop("factor")
+            factor = F.coalesce(F.when(step > 0, step), F.when((have > want) & (have > 0), want / have), F.lit(1.0))
+            now = now.withColumn(f"off_{margin}", F.coalesce(F.abs(want - have) / F.lit(share * total), F.lit(0.0)))
+            now = now.withColumn("raw", F.col("raw") * factor).drop("have", "free")
             off = F.greatest(off, F.col(f"off_{margin}"))
-        now = _packed(materialize(spark, now.withColumn("off", off).select(*cells.columns, "raw", "off"), "calibrate"), parts)
+        now = now.withColumn("off", off).drop(*(f"off_{m}" for m in MARGINS))
+        now = _packed(materialize(spark, now, "calibrate"), parts)
         before, worst = worst, now.agg(F.max("off").alias("m")).first()["m"]
         now = now.drop("off")
         slow = slow + 1 if worst > STALLED * before else 0
@@ -207,7 +222,7 @@ def calibrate(
             break
     if worst > tolerance:
         log.warning("mixing: the marginals can't all be met, one is off by %.6f of the budget", worst)
-    return now.withColumn("probability", p).drop("raw")
+    return now.withColumn("probability", p).drop("raw", *(f"want_{m}" for m in MARGINS))
 
 
 def mix(
