@@ -117,6 +117,70 @@ def test_a_document_is_placed_once_a_round_and_only_likely_pairs_shuffle_sets(sp
     assert counts["pairs"][1] < counts["pairs"][0] / 2  # of the star's pairs, those that bitmaps pass
 
 
+def versions(count, own, seed=3):
+    """Copies of one text with up to 14 words changed: into words of their own, or into one other word at each place."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for n in range(count):
+        made = list(base)
+        for k in rng.sample(range(1, 150, 4), rng.randrange(15)):
+            made[k] = f"own{n}x{k}" if own else f"other{k}"
+        rows.append((n, " ".join(made)))
+    return rows
+
+
+def compared(spark, monkeypatch, rows):
+    """What near_duplicates returns, the rows that went into comparisons by bitmaps, and how many rows each tag had."""
+    sizes, counts = [], {}
+    across, write = minhash._across, minhash.materialize
+
+    def counted(*args):
+        out = across(*args)
+        plan = out._jdf.queryExecution().analyzed().children().head()
+        sizes.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(out._jdf.sparkSession(), plan).count())
+        return out
+
+    def written(session, df, tag):
+        out = write(session, df, tag)
+        counts[tag] = counts.get(tag, 0) + out.count()
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(minhash, "_across", counted)
+        m.setattr(minhash, "materialize", written)
+        m.setattr(minhash, "MEMBERS", 32)
+        m.setattr(minhash, "CROWD", 16, raising=False)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85, 3).collect()
+    return {(r.doc_id, r.n_shingles): r.component_id for r in got}, sum(sizes), counts
+
+
+def test_compared_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    small, large = versions(150, own=True), versions(450, own=True)
+    got, few, _ = compared(spark, monkeypatch, small)
+    assert got == brute(small) and len(set(got.values())) > 50
+    got, many, counts = compared(spark, monkeypatch, large)
+    assert got == brute(large) and counts["unsettled"] > 3000
+    assert many <= 4 * max(few, 450)
+
+
+def test_sets_that_are_linked_share_one_of_the_rarest():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(-(2**63), 2**63, 400))
+    common, counts = base[::2], rng.integers(2, 90, len(base[::2]))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(330, 400)], rng.integers(-(2**63), 2**63, rng.integers(0, 30))])) for _ in range(80)]
+    found = [minhash.rarest(h, common, counts, 85) for h in sets]
+    links = 0
+    for b in range(80):
+        for a in range(b):
+            s = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * s >= 85 * (len(sets[a]) + len(sets[b]) - s):
+                links += 1
+                assert len(np.intersect1d(found[a], found[b]))
+    assert links > 20 and max(map(len, found)) < 80
+    assert minhash.rarest(base, common[:0], counts[:0], 100).tolist() == base[:1].tolist()
+
+
 def test_star_pairs_passed_by_bitmaps_miss_no_link(spark):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 600, dtype=np.uint64)

@@ -9,12 +9,19 @@ first. In each bucket the member that shares the most crowded buckets is the cen
 full sets and joined into components.
 
 Stars alone could lose a link between two members that the centre doesn't tie together. So in buckets
-whose members are still in several components, all pairs of different components are compared, block
-against block of about MEMBERS members, by bitmaps of their sets' parities: the bits in which two differ
-are no more than the hashes in which they do, so no link is passed over. What passes is confirmed on
-full sets, of each member the likeliest pairs with a component first; rounds go on, with more pairs of
-each, until all that pass are tested or within one component. Each pair of documents that shares a bucket is thus decided; a
-pair at the threshold itself shares none with a probability under 1e-6.
+whose members are still in several components, all pairs of different components are decided: one of
+a pair is outside the bucket's largest component and asks for the other.
+In buckets of more than CROWD members an index is asked first. In one order of all shingles, rare ones
+first, two linked sets share a shingle so near the start of both that what follows can still hold their
+intersection. Counts by size tell how many sets may answer a member; all of them are tested, unless they
+are more than its shingles (FEW at least). Members with more, and those that ask in smaller buckets, are
+compared with all of their bucket, in large ones in blocks of about MEMBERS, by bitmaps of their sets'
+parities: the bits in which two differ are no more than the hashes in which they do, so no link is
+passed over. What passes is confirmed on full sets, of each member the likeliest pairs with a component
+first; rounds go on where members have more pairs, until all that pass are tested or within one
+component. Each pair of documents that shares a bucket is thus decided; a pair at the threshold itself
+shares none with a probability under 1e-6. Rows that are compared grow with the members of a bucket
+times the blocks of those that the index leaves, so with the square only where sets lack rare shingles.
 
 Skew. Buckets, classes and centres with very many members are hot keys of joins between written tables,
 which AQE splits; sums are combined before they are shuffled. A Bloom filter of bounded size picks the
@@ -45,6 +52,9 @@ from .urls import build_filter, probe
 ROWS, MISS = 5, 5e-7
 #: Pairs of a member with another component in a first round, and members of a block.
 LIKELIEST, MEMBERS = 4, 1024
+#: Members of buckets that are searched by rare shingles first, least number of answers that are all tested,
+#: share of the sets (one of so many) that tells which shingles are common, and how many of these are told apart.
+CROWD, FEW, SAMPLED, COMMON = 256, 64, 8, 1 << 18
 MEMO = 150_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -213,7 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     edges = materialize(spark, confirm(near, sets, percent), "links")
     tested = tested.select("a", "b")
     parts = connected_components(spark, edges)
-    most = LIKELIEST
+    most, asking = LIKELIEST, None
     while True:
         placed = members.join(parts, F.col("doc_id") == F.col("node"), "left").select(
             "buckets", "doc_id", F.coalesce("component", "doc_id").alias("part")
@@ -227,10 +237,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         if split.isEmpty():
             break
         unsettled = materialize(spark, placed.join(split, "bucket"), "unsettled")
-        likely = materialize(spark, _across(unsettled, sets.select("doc_id", "n_set", "bits"), percent, most), "likely")
-        fresh = materialize(spark, likely.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        answers = None
+        if asking is None:
+            outside, crowded = F.col("part") != F.col("largest"), F.col("n") > CROWD
+            answers, left = by_rare_shingles(unsettled.where(crowded), sets, percent)
+            asking = unsettled.where(outside & ~crowded).select("bucket", "doc_id")
+            asking = asking.unionAll(unsettled.where(outside & crowded).join(left, "doc_id").select("bucket", "doc_id"))
+        likely = materialize(spark, _across(unsettled, asking, sets.select("doc_id", "n_set", "bits"), percent, most), "likely")
+        fresh = likely.select("a", "b")
+        if answers is not None:
+            fresh = fresh.unionAll(answers)
+        fresh = materialize(spark, fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(spark, confirm(fresh, sets, percent), "links")
-        more = not likely.where("more").isEmpty()
+        asking = likely.where("more").select("bucket", F.col("owner").alias("doc_id")).distinct()
+        more = not asking.isEmpty()
         tested = tested.unionAll(fresh)
         if not found.isEmpty():
             edges = edges.unionAll(found)
@@ -295,9 +315,9 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def likely_pairs(part: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
-    """a, b, more: pairs of different parts of two blocks (mine = i and j) whose bitmaps let them be links.
+    """a, b, more, owner: pairs of different parts of two blocks (mine = i and j) whose bitmaps let them be links.
 
-    A pair is its member's outside the bucket's largest part. Of a member's pairs with another part the
+    A pair's owner is its member outside the bucket's largest part. Of a member's pairs with another part the
     `most` nearest are returned; `more` tells that there are others.
     """
     doc, comp, n, mine = (part[c].to_numpy() for c in ("doc_id", "part", "n_set", "mine"))
@@ -329,7 +349,7 @@ def likely_pairs(part: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
             if near.any():
                 out.append(np.stack([np.full(near.sum(), a), b[near], 1_000_000 * differ[near] // (n[b[near]] + n[a])]))
     if not out:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "more": np.zeros(0, bool)})
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "more": np.zeros(0, bool), "owner": np.zeros(0, np.int64)})
     x, y, far = np.concatenate(out, 1)
     turn = (outside[y] > outside[x]) | ((outside[y] == outside[x]) & (doc[y] > doc[x]))
     x, y = np.where(turn, y, x), np.where(turn, x, y)
@@ -341,25 +361,95 @@ def likely_pairs(part: pd.DataFrame, percent: int, most: int) -> pd.DataFrame:
     taken = np.arange(len(x)) - np.repeat(start, count) < most
     more = np.repeat(count > most, count)
     u, v = doc[x][taken], doc[y][taken]
-    return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "more": more[taken]})
-
-
-def _across(unsettled: DataFrame, bitmaps: DataFrame, percent: int, most: int) -> DataFrame:
-    """likely_pairs of all buckets of unsettled (bucket, doc_id, part, n, largest); small buckets share groups."""
-    rows = unsettled.withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    bins = max(1, unsettled.count() // MEMBERS)
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "doc_id", "part", "largest", "mine",
-        F.when(F.col("blocks") > 1, F.xxhash64("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))).alias("group"),
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
+    return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "more": more[taken], "owner": u})
+
+
+def _across(unsettled: DataFrame, asking: DataFrame, bitmaps: DataFrame, percent: int, most: int) -> DataFrame:
+    """bucket and likely_pairs of those buckets of unsettled (bucket, doc_id, part, n, largest) that asking (bucket, doc_id) names.
+
+    Buckets up to CROWD members share groups and are compared whole. In larger ones blocks of those that ask
+    (i, from 0) meet blocks of all members (j, below 0).
+    """
+    spark = bitmaps.sparkSession
+    asked = asking.groupBy("bucket").agg(F.count("*").alias("asked"))
+    rows = unsettled.join(asked, "bucket").join(asking.withColumn("asks", F.lit(True)), ["bucket", "doc_id"], "left")
+    rows = materialize(spark, rows, "asked")
+    bins = max(1, rows.count() // MEMBERS)
+    rows = rows.select(
+        "bucket", "doc_id", "part", "largest", "asks",
+        F.when(F.col("n") > CROWD, F.xxhash64("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))).alias("group"),
+        (F.col("n") <= CROWD).alias("whole"),
+        F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"),
+        F.ceil(F.col("asked") / MEMBERS).cast("int").alias("turns"),
+        F.xxhash64("doc_id").alias("hash"),
     )
+    rows = rows.withColumn("own", F.expr("cast(-1 - pmod(hash, blocks) as int)")).withColumn("turn", F.expr("cast(pmod(hash, turns) as int)"))
+    member = "transform(sequence(0, turns - 1), k -> struct(own as mine, k as i, own as j))"
+    asker = "transform(sequence(1, blocks), k -> struct(turn as mine, turn as i, -k as j))"
+    places = f"if(whole, array(struct(0 as mine, 0 as i, 0 as j)), if(asks, concat({member}, {asker}), {member}))"
+    spread = rows.withColumn("place", F.explode(F.expr(places))).select("bucket", "doc_id", "part", "largest", "group", "place.*")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([likely_pairs(part, percent, most) for _, part in pdf.groupby("bucket")])
+        return pd.concat([likely_pairs(part, percent, most).assign(bucket=bucket) for bucket, part in pdf.groupby("bucket")])
+
+    schema = "a bigint, b bigint, more boolean, owner bigint, bucket bigint"
+    return spread.join(bitmaps, "doc_id").groupBy("group", "i", "j").applyInPandas(run, schema)
+
+
+def rarest(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first hashes of a set, by their counts (those not in common: 0) and themselves; sets that are linked share one."""
+    n = len(hashes)
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))[: n + (-percent * n // 100) + 1]]
+
+
+def by_rare_shingles(crowded: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs a < b that may be links, with one outside its bucket's largest part, and doc_id of those whose pairs aren't all there.
+
+    crowded: doc_id, part and largest of the members of buckets. If the first shingle that two sets share is
+    at pos (from 0) of n, they share n - pos at most, and a link shares percent / (100 + percent) of both sizes.
+    The order of shingles decides how many pairs are found, not which links.
+    """
+    spark = sets.sparkSession
+    docs = crowded.groupBy("doc_id").agg(F.min("part").alias("part"), F.max(F.col("part") != F.col("largest")).alias("asks"))
+    docs = materialize(spark, docs, "crowd")
+    if docs.isEmpty():
+        return None, docs.select("doc_id")
+    some = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).join(docs, "doc_id", "left_semi")
+    seen = some.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    seen, least = materialize(spark, seen, "seen"), 2
+    while seen.where(F.col("c") >= least).count() > COMMON:
+        least *= 2
+    told = seen.where(F.col("c") >= least).toArrow().sort_by("h")
+    common = spark.sparkContext.broadcast((told["h"].to_numpy(), told["c"].to_numpy()))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        firsts = [rarest(np.asarray(x, np.int64), *common.value, percent) for x in rows_of(batch.column("hashes"))]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "part", "asks", "n_set")), pa.array(firsts, pa.list_(pa.int64()))],
+            names=["doc_id", "part", "asks", "n_set", "firsts"],
+        )
 
-    return spread.join(bitmaps, "doc_id").groupBy("group", "i", "j").applyInPandas(run, "a bigint, b bigint, more boolean")
+    own = sets.where("n_set > 0").join(docs, "doc_id").select("doc_id", "part", "asks", "n_set", "hashes")
+    firsts = map_batches(own, run, "doc_id bigint, part bigint, asks boolean, n_set bigint, firsts array<bigint>")
+    firsts = materialize(spark, firsts.select("doc_id", "part", "asks", "n_set", F.posexplode("firsts").alias("pos", "h")), "firsts")
+    sizes = firsts.groupBy("h", "n_set").agg(F.count("*").alias("c")).select("h", F.col("n_set").alias("m"), "c")
+    sizes = materialize(spark, sizes, "sizes")
+    similar_size = 100 * F.least("n_set", "m") >= percent * F.greatest("n_set", "m")
+    enough = (100 + percent) * (F.col("n_set") - F.col("pos")) >= percent * (F.col("n_set") + F.col("m"))
+    others = F.col("c") > F.when(F.col("n_set") == F.col("m"), 1).otherwise(0)  # than its own
+    asked = materialize(spark, firsts.where("asks").join(sizes, "h").where(similar_size & enough & others), "asked")
+    many = asked.groupBy("doc_id", "n_set").agg(F.sum("c").alias("c")).where(F.col("c") > F.greatest("n_set", F.lit(FEW)))
+    left = materialize(spark, many.select("doc_id").distinct(), "left")
+    answer = firsts.select("h", F.col("n_set").alias("m"), F.col("doc_id").alias("to"), F.col("part").alias("other"), F.col("pos").alias("at"))
+    also_enough = (100 + percent) * (F.col("m") - F.col("at")) >= percent * (F.col("n_set") + F.col("m"))
+    pairs = asked.join(left, "doc_id", "left_anti").join(answer, ["h", "m"]).where(also_enough & (F.col("part") != F.col("other")))
+    pairs = pairs.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct()
+    near = passed(pairs.withColumn("centre", F.col("b")), sets, percent)
+    return materialize(spark, near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "answers"), left
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
