@@ -164,6 +164,13 @@ def test_compared_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch
     assert many <= 4 * max(few, 450)
 
 
+def test_members_without_rare_shingles_are_compared_with_all(spark, monkeypatch):
+    rows = versions(200, own=False)
+    got, _, counts = compared(spark, monkeypatch, rows)
+    assert got == brute(rows) and len(set(got.values())) > 20
+    assert counts["left"] > 0 and counts["likely"] > 0
+
+
 def test_sets_that_are_linked_share_one_of_the_rarest():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(-(2**63), 2**63, 400))

@@ -371,7 +371,7 @@ def _across(unsettled: DataFrame, asking: DataFrame, bitmaps: DataFrame, percent
     (i, from 0) meet blocks of all members (j, below 0).
     """
     spark = bitmaps.sparkSession
-    asked = asking.groupBy("bucket").agg(F.count("*").alias("asked"))
+    asked = materialize(spark, asking.groupBy("bucket").agg(F.count("*").alias("asked")), "asking")
     rows = unsettled.join(asked, "bucket").join(asking.withColumn("asks", F.lit(True)), ["bucket", "doc_id"], "left")
     rows = materialize(spark, rows, "asked")
     bins = max(1, rows.count() // MEMBERS)
