@@ -49,6 +49,19 @@ def test_urls_with_columns_of_any_name(spark):
         assert {r[n] for n in names if n not in ("host", "rule", "verdict")} == {f"own{r['page_id']}"}
 
 
+def test_op6_judges_by_the_rules_of_its_contract(spark, tmp_path):
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/8": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"), "http://w.example.com/en/71?q": ("example.com/en/7", "allow"),
+        "http://a.net/de/1": ("net/de/", "allow"), "http://NET/de/": ("net/de/", "allow"), "http://example.net/de/9": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://w.example.net/de/81#a": ("example.net/de/8", "block"),
+        "http://a.org/es/1": ("org/es/", "block"), "http://a.org/de/1": (None, "allow"), "http://a.net/en/1": (None, "allow"), None: (None, "allow"),
+    }
+    spark.createDataFrame(enumerate(want), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_a_list_of_many_lengths_and_entries_that_fit_nothing(spark):
     listed = [("a.com", "/" + "x" * n, "block") for n in range(400)] + [("A.com", "/xx", "allow"), ("a.co", "m/xxx", "block"), (None, "/", "block")]
     listed += [("b.com", "", "block"), ("c.com/", "d", "block"), ("d.com", None, "block")]
